@@ -43,6 +43,17 @@ def as_log_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that costs more than the read.
+
+    A small file arrives as one partition, and a parse of it would run in one task. Inputs
+    that already have a partition per core are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines: line_no bigint, ts timestamp_ntz, host string, line string."""
-    return as_log_lines(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events").drop("props")
+    return as_log_lines(spread(events))

@@ -28,7 +28,7 @@ RECORD_LEVELS = ("DEBUG", "INFO", "WARN", "ERROR", "CRITICAL", "FATAL")
 SEVERE_LEVELS = ("ERROR", "CRITICAL", "FATAL")
 
 _LEVELS = "|".join(LEVEL_WORDS)
-LEVEL = rf"(?i){WORD_START}({_LEVELS}){WORD_END}"
+LEVEL = rf"(?i)(?=[ACDEFINSTW]){WORD_START}({_LEVELS}){WORD_END}"
 
 # ---- fixed values: time stamps ------------------------------------------------------
 STAMP = (
@@ -57,15 +57,16 @@ CSV_FIELD = r'"[^"]*+(?:""[^"]*+)*+(?:"[^,]*+|$)|[^",][^,]*+|'
 CSV_LINE = rf"^({CSV_FIELD}),({CSV_FIELD}),({CSV_FIELD}),({CSV_FIELD})(?:,|$)"
 
 # ---- fixed values: entities ---------------------------------------------------------
-IP = rf"{WORD_START}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{WORD_END}"
+# A cheap look at the next character comes before the look behind.
+IP = rf"(?=\d){WORD_START}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{WORD_END}"
 IP_UNBOUNDED = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 USER = r"""(?i)(?:user|userId|user_id|username)[\s=:]+['"]?([a-zA-Z0-9_-]+)['"]?"""
 STATUS_BY_KEY = r"(?i)(?:status|code|status_code)[\s=:]+(\d{3})"
 STATUS_BY_VALUE = (
-    rf"{WORD_START}(200|201|301|302|400|401|403|404|500|502|503){WORD_END}"
+    rf"(?=[2-5]){WORD_START}(200|201|301|302|400|401|403|404|500|502|503){WORD_END}"
 )
 RECORD_USER = r"(?i)user\s+([a-zA-Z0-9_]+)"
-RECORD_STATUS = rf"{WORD_START}[1-5]\d{{2}}{WORD_END}"
+RECORD_STATUS = rf"(?=\d){WORD_START}[1-5]\d{{2}}{WORD_END}"
 
 # ---- fixed values: template variables, in masking order (ASCII words) ---------------
 _A_START, _A_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"

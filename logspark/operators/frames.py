@@ -22,6 +22,17 @@ BLOCK = 8192
 SPAN = 4096
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute the columns here, once, whatever reads or filters them later.
+
+    The optimizer pushes a filter below the projection that defines its column by
+    repeating the definition. For a chain of regexes that multiplies the work. A generator
+    over a one-element array stops it; it runs in the same stage and moves no data.
+    """
+    row = F.explode(F.array(F.struct(*df.columns))).alias("_row")
+    return df.select(row).select("_row.*")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; the right side's keys are dropped."""
     renamed = right.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fields as X, patterns as P
+from .frames import settle
 
 JSON_ALIASES = {
     "timestamp": ("timestamp", "time", "@timestamp"),
@@ -23,16 +24,29 @@ RECORD_FIELDS = (
 
 
 def json_object(line: Column) -> Column:
-    """The line as a map if it is exactly one JSON object, else null.
+    """The line as map<name, struct<kind, text>> if it is exactly one JSON object, else null.
 
-    Wrapping it into an array makes trailing text an error instead of being ignored.
+    Wrapping the line into an array makes trailing text an error instead of being ignored.
+    ``kind`` is the JSON type; ``text`` spells null and booleans the way the reports do.
+    A name that is present has a struct, also for an explicit null.
     """
     parsed = F.from_json(
         F.concat(F.lit("["), line, F.lit("]")),
         "array<map<string,variant>>",
         {"allowSingleQuotes": "false"},
     )
-    return F.when(line.startswith("{") & (F.size(parsed) == 1), parsed[0])
+
+    def spelled(_, value):
+        kind = F.schema_of_variant(value)
+        shown = (
+            F.when(kind == "VOID", "None")
+            .when(kind == "BOOLEAN", F.initcap(value.cast("string")))
+            .otherwise(value.cast("string"))
+        )
+        return F.struct(kind.alias("kind"), shown.alias("text"))
+
+    whole = F.when(line.startswith("{"), parsed)
+    return F.when(F.size(whole) == 1, F.transform_values(whole[0], spelled))
 
 
 def log_type(line: Column, as_json: Column | None = None) -> Column:
@@ -50,47 +64,22 @@ def log_type(line: Column, as_json: Column | None = None) -> Column:
     )
 
 
-def _json_text(value: Column) -> Column:
-    """A JSON value as text; null and booleans in the spelling the reports use."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "VOID", "None")
-        .when(kind == "BOOLEAN", F.initcap(value.cast("string")))
-        .otherwise(value.cast("string"))
-    )
-
-
-def _alias(as_json: Column, names, missing: Column, null_as: Column | None = None) -> Column:
-    """The value of the first name that is present, even if it is an explicit null."""
-    result = missing
-    for name in reversed(names):
-        value = as_json[name]
-        text = _json_text(value)
-        if null_as is not None:
-            text = F.when(F.is_variant_null(value), null_as).otherwise(text)
-        result = F.when(F.map_contains_key(as_json, name), text).otherwise(result)
-    return result
+def _first(as_json: Column, field: str) -> Column:
+    """The value under the first alias that is present, as struct<kind, text>."""
+    return F.coalesce(*[as_json[name] for name in JSON_ALIASES[field]])
 
 
-def _json_stamp(as_json: Column) -> Column:
+def _json_stamp(value: Column) -> Column:
     """A JSON time: text cut to 19 characters, or seconds since 1970 written out in UTC."""
-    result = F.lit("")
-    for name in reversed(JSON_ALIASES["timestamp"]):
-        value = as_json[name]
-        text = _json_text(value)
-        number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-        seconds = F.floor(text.cast("double")).cast("bigint")
-        written = F.date_format(
-            F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")),
-            "yyyy-MM-dd HH:mm:ss",
-        )
-        shown = (
-            F.when(F.is_variant_null(value), "")
-            .when(number, written)
-            .otherwise(F.substring(text, 1, 19))
-        )
-        result = F.when(F.map_contains_key(as_json, name), shown).otherwise(result)
-    return result
+    kind, text = value["kind"], value["text"]
+    seconds = F.floor(text.try_cast("double")).cast("bigint")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    written = F.date_format(F.timestamp_add("SECOND", seconds, epoch), "yyyy-MM-dd HH:mm:ss")
+    return (
+        F.when(value.isNull() | (kind == "VOID"), "")
+        .when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), written)
+        .otherwise(F.substring(text, 1, 19))
+    )
 
 
 def _csv_field(line: Column, number: int) -> Column:
@@ -116,13 +105,12 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
     def only(name: str, value: Column) -> Column:
         return F.when(kind == name, value)
 
-    lines = df.select(*others, X.strip(F.col(line)).alias("raw")).where(F.length("raw") > 0)
-    typed = lines.withColumn("_json", json_object(raw)).withColumn(
-        "log_type", log_type(raw, as_json)
-    )
+    lines = settle(df.select(*others, X.strip(F.col(line)).alias("raw")))
+    objects = settle(lines.where(F.length("raw") > 0).withColumn("_json", json_object(raw)))
+    typed = settle(objects.withColumn("log_type", log_type(raw, as_json)))
 
     # Pieces that several fields share, each computed once and only for its own format.
-    cut = typed.withColumns({
+    pieces = settle(typed.withColumns({
         "_bgl": only("bgl", F.split(raw, r"\s+", 10)),
         "_csv": only("csv", F.when(
             raw.rlike(P.CSV_LINE), F.array(*[_csv_field(raw, i) for i in (1, 2, 3, 4)])
@@ -131,93 +119,111 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
         "_stamp": F.when(kind.isin("application", "plain"), F.coalesce(
             X.found(raw, P.LEADING_STAMP, 1), X.found(raw, P.ANY_STAMP, 1), F.lit("")
         )),
-        "_jmsg": only("json", _alias(as_json, JSON_ALIASES["message"], raw)),
-    }).where(
+        "_access": only("apache_nginx", F.array(
+            F.coalesce(X.found(raw, P.ACCESS_LINE, 1), X.found(raw, P.ACCESS_LINE, 2)),
+            *[F.regexp_extract(raw, P.ACCESS_LINE, group) for group in (3, 4, 5)],
+        )),
+        "_jmsg": only("json", F.coalesce(_first(as_json, "message")["text"], raw)),
+    }))
+    cut = pieces.where(
         (kind != "bgl") | (F.size("_bgl") == 10)
     ).where((kind != "csv") | F.col("_csv").isNotNull())
 
     rest = cut.withColumn("_rest", F.substring(raw, F.length("_lead") + 1, F.length(raw)))
-    word = rest.withColumn("_word", X.found(F.col("_rest"), P.LEVEL, 1))
+    word = settle(rest.withColumn("_word", X.found(F.col("_rest"), P.LEVEL, 1)))
     # The level word goes where its spelling first occurs; then leading separators go.
     at = F.instr(F.col("_rest"), F.col("_word"))
     without = F.when(F.col("_word").isNull(), F.col("_rest")).otherwise(F.concat(
         F.substring(F.col("_rest"), F.lit(1), at - 1),
         F.substring(F.col("_rest"), at + F.length("_word"), F.length("_rest")),
     ))
-    bare = word.withColumn("_bare", F.coalesce(
+    bare = settle(word.withColumn("_bare", F.coalesce(
         F.nullif(X.strip(F.regexp_replace(without, r"^[\s\-:|]+", "")), F.lit("")), raw
-    ))
-    tagged = bare.withColumn("_tag", X.found(F.col("_bare"), r"^\[([^\]]+)\]", 1)).withColumn(
+    )))
+    tagged = settle(bare.withColumn("_tag", X.found(F.col("_bare"), r"^\[([^\]]+)\]", 1)).withColumn(
         "message",
         F.when(kind == "json", F.col("_jmsg"))
         .when(kind == "bgl", F.col("_bgl")[9])
         .when(kind == "csv", F.col("_csv")[3])
-        .when(kind == "apache_nginx", F.coalesce(X.found(raw, P.ACCESS_LINE, 4), raw))
+        .when(kind == "apache_nginx", F.coalesce(F.nullif(F.col("_access")[2], F.lit("")), raw))
         .when(kind == "application", F.when(
             F.col("_tag").isNotNull(), F.regexp_extract("_bare", r"^\[[^\]]+\]\s*(.*)", 1)
         ).otherwise(F.col("_bare")))
         .otherwise(raw),
-    )
+    ))
 
+    # Address, user, status and service are guessed from one text per line: the message of
+    # a JSON object, the whole line of the free formats.
     message = F.col("message")
+    guessed = kind.isin("json", "application", "plain")
+    sourced = tagged.withColumn(
+        "_text", F.when(kind == "json", message).when(kind.isin("csv", "application", "plain"), raw)
+    ).withColumn("_said", F.when(guessed, message))
+    text = F.col("_text")
+    entities = settle(sourced.withColumns({
+        "_ip": X.extract_ip(text),
+        "_user": X.extract_user(text),
+        "_status": X.extract_status(text),
+        "_svc": F.when(guessed, X.guess_service(F.col("_said"))),
+    }))
+
+    def named(field: str, missing: Column, keep_null: bool = False) -> Column:
+        value = _first(as_json, field)
+        text = F.when(value["kind"] != "VOID", value["text"]) if keep_null else value["text"]
+        return F.when(value.isNotNull(), text).otherwise(missing)
+
+    objects = settle(entities.withColumn("_fields", only("json", F.struct(
+        _json_stamp(_first(as_json, "timestamp")).alias("timestamp"),
+        named("service", F.col("_svc")).alias("service"),
+        named("log_level", F.lit("INFO")).alias("level"),
+        named("ip_address", F.col("_ip"), keep_null=True).alias("ip"),
+        named("user_id", F.col("_user"), keep_null=True).alias("user"),
+        F.coalesce(
+            F.nullif(named("status_code", F.lit("")), F.lit("")), F.col("_status")
+        ).alias("status"),
+    ))))
+
+    access_status = F.col("_access")[3]
     stamp = (
-        F.when(kind == "json", _json_stamp(as_json))
+        F.when(kind == "json", F.col("_fields.timestamp"))
         .when(kind == "bgl", F.concat(F.col("_bgl")[2], F.lit(" "), F.col("_bgl")[4]))
         .when(kind == "csv", F.substring(F.col("_csv")[0], 1, 19))
-        .when(kind == "apache_nginx", F.regexp_extract(raw, P.ACCESS_LINE, 3))
+        .when(kind == "apache_nginx", F.col("_access")[1])
         .otherwise(F.substring(F.replace(F.col("_stamp"), F.lit("T"), F.lit(" ")), 1, 19))
     )
     service = (
-        F.when(kind == "json", _alias(as_json, JSON_ALIASES["service"], X.guess_service(message)))
+        F.when(kind == "json", F.col("_fields.service"))
         .when(kind == "bgl", F.concat(F.col("_bgl")[6], F.lit("/"), F.col("_bgl")[7]))
         .when(kind == "csv", F.col("_csv")[1])
         .when(kind == "apache_nginx", "WebServer")
-        .otherwise(F.coalesce(F.col("_tag"), X.guess_service(message)))
+        .otherwise(F.coalesce(F.col("_tag"), F.col("_svc")))
     )
-    access_status = F.regexp_extract(raw, P.ACCESS_LINE, 5)
-    level = (
-        F.when(kind == "json", X.normalize_level(
-            _alias(as_json, JSON_ALIASES["log_level"], F.lit("INFO"))))
-        .when(kind == "bgl", X.normalize_level(F.col("_bgl")[8]))
-        .when(kind == "csv", X.normalize_level(F.col("_csv")[2]))
+    level_word = (
+        F.when(kind == "json", F.col("_fields.level"))
+        .when(kind == "bgl", F.col("_bgl")[8])
+        .when(kind == "csv", F.col("_csv")[2])
         .when(kind == "apache_nginx", F.when(access_status.startswith("2"), "INFO").otherwise("ERROR"))
-        .when(kind == "application", X.normalize_level(F.coalesce(F.col("_word"), F.lit("INFO"))))
+        .when(kind == "application", F.coalesce(F.col("_word"), F.lit("INFO")))
         .otherwise("INFO")
     )
-    from_line = kind.isin("csv", "application", "plain")
-    null = F.lit(None).cast("string")
-    client = F.coalesce(X.found(raw, P.ACCESS_LINE, 1), X.found(raw, P.ACCESS_LINE, 2))
-    ip = (
-        F.when(kind == "json", _alias(
-            as_json, JSON_ALIASES["ip_address"], X.extract_ip(message), null))
-        .when(kind == "apache_nginx", F.nullif(client, F.lit("-")))
-        .when(from_line, X.extract_ip(raw))
-    )
-    user = F.when(
-        kind == "json",
-        _alias(as_json, JSON_ALIASES["user_id"], X.extract_user(message), null),
-    ).when(from_line, X.extract_user(raw))
-    status = (
-        F.when(kind == "json", F.coalesce(
-            F.nullif(_alias(as_json, JSON_ALIASES["status_code"], F.lit("")), F.lit("")),
-            X.extract_status(message)))
-        .when(kind == "apache_nginx", access_status)
-        .when(from_line, X.extract_status(raw))
-    )
+    ip = F.when(kind == "json", F.col("_fields.ip")).when(
+        kind == "apache_nginx", F.nullif(F.col("_access")[0], F.lit("-"))
+    ).otherwise(F.col("_ip"))
+    user = F.when(kind == "json", F.col("_fields.user")).otherwise(F.col("_user"))
+    status = F.when(kind == "json", F.col("_fields.status")).when(
+        kind == "apache_nginx", access_status
+    ).otherwise(F.col("_status"))
     label = F.when(
         kind == "bgl", F.when(F.col("_bgl")[0] == "-", 0).otherwise(1)
     ).cast("int")
 
-    record = tagged.withColumns({
-        "id": F.concat(F.lit("log-"), F.col(line_no).cast("string")),
-        "timestamp": stamp,
-        "service": service,
-        "log_level": level,
-        "ip_address": ip,
-        "user_id": user,
-        "status_code": status,
-        "dataset_label": label,
-    })
+    record = settle(objects.select(
+        *others, "raw", "log_type", "message",
+        F.concat(F.lit("log-"), F.col(line_no).cast("string")).alias("id"),
+        stamp.alias("timestamp"), service.alias("service"), level_word.alias("_level"),
+        ip.alias("ip_address"), user.alias("user_id"), status.alias("status_code"),
+        label.alias("dataset_label"),
+    )).withColumn("log_level", X.normalize_level(F.col("_level")))
     when = F.replace(F.col("timestamp"), F.lit("T"), F.lit(" "))
     return record.withColumn(
         "event_ts", F.try_to_timestamp(when, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
@@ -235,7 +241,7 @@ def parse_logs_client(df: DataFrame, line: str = "line", line_no: str = "line_no
     others = [c for c in df.columns if c != line]
     lines = df.select(*others, X.strip(F.col(line)).alias("_line")).where(F.length("_line") > 0)
     raw = F.col("_line")
-    cut = lines.withColumns({
+    cut = settle(lines).withColumns({
         "_lead": F.regexp_extract(raw, P.CLIENT_STAMP, 0),
         "_word": X.found(raw, P.CLIENT_LEVEL, 1),
     })
@@ -247,11 +253,11 @@ def parse_logs_client(df: DataFrame, line: str = "line", line_no: str = "line_no
         F.substring(F.col("_rest"), F.lit(1), at - 1),
         F.substring(F.col("_rest"), at + F.length("_word"), F.length("_rest")),
     ))
-    message = rest.withColumn(
+    message = settle(rest.withColumn(
         "_msg", X.strip(F.regexp_replace(X.strip(without), r"^[\s\-:|\[\]]+", ""))
-    )
+    ))
     stamp = F.replace(X.found(raw, P.CLIENT_STAMP, 1), F.lit("T"), F.lit(" "))
-    return message.select(
+    return settle(message.select(
         *others,
         F.concat(F.lit("uploaded-"), F.col(line_no).cast("string")).alias("id"),
         stamp.alias("timestamp"),
@@ -260,13 +266,13 @@ def parse_logs_client(df: DataFrame, line: str = "line", line_no: str = "line_no
         X.mask_template(F.col("_msg")).alias("template"),
         X.template_params(F.col("_msg")).alias("params"),
         X.guess_service(F.col("_msg"), client=True).alias("component"),
-    )
+    ))
 
 
 def parse_feature_record(df: DataFrame, line: str = "line") -> DataFrame:
     """The record the feature extractor works on, with its own looser patterns."""
     others = [c for c in df.columns if c != line]
-    base = df.select(*others, F.col(line).alias("_line")).withColumns({
+    base = settle(df.select(*others, F.col(line).alias("_line"))).withColumns({
         "_stamp": X.found(F.col("_line"), P.RECORD_STAMP),
         "_upper": F.upper("_line"),
     })
@@ -274,7 +280,7 @@ def parse_feature_record(df: DataFrame, line: str = "line") -> DataFrame:
     for name in P.RECORD_LEVELS:
         test = F.col("_upper").contains(name)
         level = F.when(test, name) if level is None else level.when(test, name)
-    leveled = base.withColumn("log_level", level)
+    leveled = settle(base.withColumn("log_level", level))
     text = X.strip(F.col("_line"))
     text = F.when(
         F.col("_stamp").isNotNull(), X.strip(F.replace(text, F.col("_stamp"), F.lit("")))
@@ -283,7 +289,7 @@ def parse_feature_record(df: DataFrame, line: str = "line") -> DataFrame:
         F.col("log_level").isNotNull(), X.strip(F.replace(text, F.col("log_level"), F.lit("")))
     ).otherwise(text)
     written = F.regexp_replace(F.col("_stamp"), r"\s+", " ")
-    return leveled.select(
+    return settle(leveled.select(
         *others,
         F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm:ss"))
         .cast("timestamp_ntz").alias("record_ts"),
@@ -292,4 +298,4 @@ def parse_feature_record(df: DataFrame, line: str = "line") -> DataFrame:
         X.found(F.col("_line"), P.RECORD_USER, 1).alias("user"),
         X.found(F.col("_line"), P.RECORD_STATUS).cast("int").alias("status_code"),
         text.alias("content"),
-    )
+    ))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from .frames import settle
 
 
 def process_logs(df: DataFrame, **options) -> DataFrame:
@@ -12,7 +13,7 @@ def process_logs(df: DataFrame, **options) -> DataFrame:
     spoken = F.concat(
         F.coalesce(F.col("log_level"), F.lit("")), F.lit(" "), T.message_or_raw()
     )
-    return df.withColumn("cleaned_message", T.clean_message(spoken, **options))
+    return settle(df.withColumn("cleaned_message", T.clean_message(spoken, **options)))
 
 
 def filter_messages(df: DataFrame, longer_than: int = 0) -> DataFrame:

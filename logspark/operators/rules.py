@@ -42,7 +42,9 @@ def repeated_login_failures(
     no gaps. Adds ``repeated`` where there are ``min_hits`` failures or more.
     """
     by = list(by)
-    flagged = df.withColumn("_hit", S.is_login_failure(_both(" ")).cast("int"))
+    flagged = frames.settle(
+        df.withColumn("_hit", S.is_login_failure(_both(" ")).cast("int"))
+    )
     seq = order if numbered else "_seq"
     indexed = flagged if numbered else frames.line_index(flagged, order, by, name=seq)
     wide = frames.with_halo(indexed, seq, before=max(window, frequency_rows))
@@ -79,9 +81,9 @@ def run_rules(
                  F.col("requests").cast("string"), F.lit(" in window")),
     )
     rules = [*keyword_rules().values(), repeated, frequent]
-    return context.withColumn("rule", S.first_triggered(rules)).drop(
+    return frames.settle(context.withColumn("rule", S.first_triggered(rules)).drop(
         "login_failures", "requests", "repeated"
-    )
+    ))
 
 
 def request_frequency(
