@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ("q_parse", "q_rules")
+MODULES = ("q_parse", "q_rules", "q_features", "q_windows")
 
 
 def load_all() -> None:

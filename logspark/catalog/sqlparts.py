@@ -304,7 +304,7 @@ RECORDS = RAW + f""", r1 AS (
   FROM raw_logs
 ), r2 AS (
   SELECT *, CASE WHEN stamp IS NULL THEN {strip('line')} ELSE {strip(f"replace({strip('line')}, stamp, '')")} END AS c1 FROM r1
-), records AS (
+), records AS MATERIALIZED (
   SELECT line_no, ts, host, try_strptime(stamp, '%Y-%m-%d %H:%M:%S') AS record_ts, log_level,
     nullif(regexp_extract(line, {q(_R_IP)}), '') AS ip_address,
     nullif(regexp_extract(line, {q(P.RECORD_USER)}, 1), '') AS "user",

@@ -46,11 +46,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _totals_before(table: DataFrame, pos: str, values, by=()) -> DataFrame:
-    """Exclusive running sums over integer positions that need not be dense.
+def sums_along(table: DataFrame, pos: str, values, by=(), inclusive: bool = False) -> DataFrame:
+    """Running sums over integer positions, unique per ``by`` but not dense.
 
     Two levels: totals of spans of positions, then sums inside a span. The one window
-    without a partition key sees a row per span, that is one per SPAN * BLOCK log lines.
+    without a partition key sees a row per span of positions. Gives ``cum_<value>``,
+    without the row itself unless ``inclusive``.
     """
     spanned = table.withColumn("_span", F.floor(F.col(pos) / SPAN))
     totals = spanned.groupBy(*by, "_span").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -62,14 +63,15 @@ def _totals_before(table: DataFrame, pos: str, values, by=()) -> DataFrame:
         *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values],
     )
     inside = Window.partitionBy(*by, "_span").orderBy(pos).rowsBetween(
-        Window.unboundedPreceding, -1
+        Window.unboundedPreceding, 0 if inclusive else -1
     )
     local = spanned.select(
-        "*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_l_{v}") for v in values]
+        *by, pos, "_span",
+        *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_l_{v}") for v in values],
     )
     joined = null_safe_join(local, bases, [*by, "_span"])
     return joined.select(
-        *by, pos, *[(F.col(f"_b_{v}") + F.col(f"_l_{v}")).alias(f"before_{v}") for v in values]
+        *by, pos, *[(F.col(f"_b_{v}") + F.col(f"_l_{v}")).alias(f"cum_{v}") for v in values]
     )
 
 
@@ -78,16 +80,17 @@ def line_index(
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... along an integer column, inside each ``by`` group.
 
-    Values of ``order`` are unique inside a group but may have gaps (blank lines).
+    Values of ``order`` are unique inside a group but may have gaps (blank lines). The
+    rows are read twice, once for the block counts: number lines before parsing them.
     """
     by = list(by)
     keyed = df.withColumn("_blk", F.floor(F.col(order) / block))
     counts = keyed.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("n"))
-    starts = _totals_before(counts, "_blk", ["n"], by)
+    starts = sums_along(counts, "_blk", ["n"], by)
     inside = Window.partitionBy(*by, "_blk").orderBy(order)
     numbered = keyed.withColumn("_rn", F.row_number().over(inside))
     return null_safe_join(numbered, starts, [*by, "_blk"]).select(
-        *df.columns, (F.col("before_n") + F.col("_rn") - 1).cast("bigint").alias(name)
+        *df.columns, (F.col("cum_n") + F.col("_rn") - 1).cast("bigint").alias(name)
     )
 
 
@@ -177,21 +180,28 @@ def running_totals(
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict, by=()) -> DataFrame:
-    """One row per ``by`` group with linearly interpolated quantiles, exactly.
+def ranked_counts(df: DataFrame, value: str, by=()) -> DataFrame:
+    """Distinct values with their count ``n``, the count up to them ``cum_n`` and ``_size``.
 
-    ``quantiles`` maps an output name to a fraction. Equal values are counted first, then
-    ranked by running totals, so no task holds the values of a group.
+    The value at 0-based rank r is the smallest one with cum_n > r.
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counts, value, ["n"], by)
-    sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
     if by:
-        sized = null_safe_join(ranked, sizes, by)
-    else:
-        sized = ranked.withColumn("_size", sizes.scalar())
+        return null_safe_join(ranked, sizes, by)
+    return ranked.withColumn("_size", sizes.scalar())
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict, by=()) -> DataFrame:
+    """One row per ``by`` group with linearly interpolated quantiles, exactly.
+
+    ``quantiles`` maps an output name to a fraction. Equal values are counted first, then
+    ranked by running totals, so no task holds the values of a group.
+    """
+    by = list(by)
     picks, out = [], []
     for name, fraction in quantiles.items():
         place = (F.col("_size") - 1) * F.lit(float(fraction))
@@ -203,7 +213,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict, by=()) -> DataFr
         ]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * F.col(f"_fr_{name}")).alias(name))
-    return sized.groupBy(*by).agg(*picks).select(*by, *out)
+    return ranked_counts(df, value, by).groupBy(*by).agg(*picks).select(*by, *out)
 
 
 def hash_rank_filter(
