@@ -15,7 +15,10 @@ def processed(spark, sf_dir):
 
 
 def ruled(spark, sf_dir):
-    return rules.run_rules(processed(spark, sf_dir), order="line_no")
+    """Numbered, parsed, cleaned, and the first rule that fires."""
+    numbered = parse.number_lines(raw_logs(spark, sf_dir))
+    logs = prepare.process_logs(parse.parse_logs(numbered))
+    return rules.run_rules(logs, order="seq", numbered=True)
 
 
 def verdicts(spark, sf_dir):
