@@ -154,11 +154,9 @@ def best_models(spark, sf_dir):
     return evaluate.best_models(metrics)
 
 
-_TWO = f"""pair AS (SELECT o_orderdate < TIMESTAMP '1995-01-01' AS early, {_CELLS} FROM (
-  SELECT o_orderdate, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS y, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS p FROM orders) GROUP BY 1),
-rat AS (SELECT early, {_RATIOS} FROM pair), long AS (SELECT * FROM rat UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1_score))),
+_TWO = f"""{_MODELS}, long AS (SELECT model, metric, value FROM (SELECT model, accuracy, precision, recall, f1_score FROM metrics) UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1_score))),
 ch AS (SELECT b.metric, b.value AS baseline, n.value AS improved, (n.value - b.value) / b.value * 100 AS change_percent
-  FROM long b JOIN long n ON n.metric = b.metric AND b.early AND NOT n.early WHERE b.value > 0),
+  FROM long b JOIN long n ON n.metric = b.metric AND b.model = '1-URGENT' AND n.model = '5-LOW' WHERE b.value > 0),
 dir AS (SELECT *, CASE WHEN change_percent > 0 THEN 'improvement' WHEN change_percent < 0 THEN 'degradation' ELSE 'same' END AS direction FROM ch),
 bal AS (SELECT count(*) FILTER (direction = 'improvement') - count(*) FILTER (direction = 'degradation') AS b FROM dir)"""
 
@@ -167,11 +165,8 @@ bal AS (SELECT count(*) FILTER (direction = 'improvement') - count(*) FILTER (di
   abs(change_percent) > 10 AS significant, CASE WHEN b > 0 THEN 'Overall improvement achieved' WHEN b < 0 THEN 'Overall performance degraded'
   ELSE 'Mixed results - trade-offs between metrics' END AS overall FROM dir, bal""")
 def improvement_summary(spark, sf_dir):
-    judged = table(spark, sf_dir, "orders").select(
-        (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).alias("early"),
-        (F.col("o_totalprice") > 150000).cast("int").alias("label"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("pred"))
-    base = evaluate.evaluate_binary(judged.where("early"), "label", "pred")
-    new = evaluate.evaluate_binary(judged.where("not early"), "label", "pred")
+    metrics = model_metrics(spark, sf_dir)
+    base = metrics.where(F.col("model") == "1-URGENT")
+    new = metrics.where(F.col("model") == "5-LOW")
     return evaluate.improvement_summary(base, new).withColumn(
         "change_percent", F.round("change_percent", 2))

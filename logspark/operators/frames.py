@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 8192
+BLOCK = 2048
 SPAN = 4096
 
 
@@ -88,14 +88,24 @@ def line_index(
     counts = keyed.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("n"))
     starts = sums_along(counts, "_blk", ["n"], by)
     inside = Window.partitionBy(*by, "_blk").orderBy(order)
-    numbered = keyed.withColumn("_rn", F.row_number().over(inside))
+    numbered = by_block(keyed, by).withColumn("_rn", F.row_number().over(inside))
     return null_safe_join(numbered, starts, [*by, "_blk"]).select(
         *df.columns, (F.col("cum_n") + F.col("_rn") - 1).cast("bigint").alias(name)
     )
 
 
+def by_block(df: DataFrame, by=()) -> DataFrame:
+    """Place rows by block, in as many partitions as the session shuffles into.
+
+    Windows over the block need no further shuffle. The number is given, so that AQE does
+    not merge the partitions: what follows is work per row, not per byte.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(width, *by, "_blk")
+
+
 def with_halo(
-    df: DataFrame, seq: str, before: int = 0, after: int = 0, block: int = BLOCK
+    df: DataFrame, seq: str, before: int = 0, after: int = 0, by=(), block: int = BLOCK
 ) -> DataFrame:
     """Add ``_blk`` and ``_own``: every row in its block, edge rows also in the next one.
 
@@ -109,12 +119,13 @@ def with_halo(
         F.floor((F.col(seq) + before) / block),
         F.floor((F.col(seq) - after) / block),
     ))
-    return (
+    copied = (
         df.withColumn("_home", own)
         .withColumn("_blk", F.explode(homes))
         .withColumn("_own", F.col("_blk") == F.col("_home"))
         .drop("_home")
     )
+    return by_block(copied, by)
 
 
 def block_window(seq: str, by=(), first: int = 0, last: int = 0):

@@ -47,7 +47,7 @@ def repeated_login_failures(
     )
     seq = order if numbered else "_seq"
     indexed = flagged if numbered else frames.line_index(flagged, order, by, name=seq)
-    wide = frames.with_halo(indexed, seq, before=max(window, frequency_rows))
+    wide = frames.with_halo(indexed, seq, before=max(window, frequency_rows), by=by)
     counted = wide.withColumns({
         "login_failures": F.sum("_hit").over(frames.block_window(seq, by, -window, 0)),
         "requests": F.count(F.lit(1)).over(frames.block_window(seq, by, -frequency_rows, 0)),
@@ -98,7 +98,7 @@ def request_frequency(
     by = list(by)
     seq = order if numbered else "_seq"
     indexed = df if numbered else frames.line_index(df, order, by, name=seq)
-    counted = frames.with_halo(indexed, seq, before=rows).withColumn(
+    counted = frames.with_halo(indexed, seq, before=rows, by=by).withColumn(
         "requests", F.count(F.lit(1)).over(frames.block_window(seq, by, -rows, 0))
     )
     result = frames.own_rows(counted).withColumn("unusual", F.col("requests") > threshold)

@@ -28,7 +28,7 @@ def _runs(
     by = list(by)
     seq = order if numbered else "_seq"
     indexed = df if numbered else frames.line_index(df, order, by, name=seq)
-    wide = frames.with_halo(indexed, seq, before=length - 1)
+    wide = frames.with_halo(indexed, seq, before=length - 1, by=by)
     frame = frames.block_window(seq, by, -(length - 1), 0)
     runs = wide.withColumns({f"_run_{c}": F.collect_list(c).over(frame) for c in columns})
     return frames.own_rows(runs).withColumn("_full", F.col(seq) >= length - 1)

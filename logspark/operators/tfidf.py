@@ -12,6 +12,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import patterns as P
+from ..session import materialize
 from .frames import settle
 
 MAX_BROADCAST_TERMS = 100_000
@@ -114,19 +115,62 @@ def sparse_vectors(weights: DataFrame, key: str) -> DataFrame:
     )
 
 
-def svd_components(vectors: DataFrame, size: int, k: int) -> np.ndarray:
-    """Right singular vectors of the weight matrix, ``size`` x ``k``. Runs Spark jobs.
+def _gram_times(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """X'X times a thin basis, X being the weight matrix. One Spark job.
 
-    The matrix stays distributed; the result is bounded by vocabulary size times k.
+    A task adds up its rows; the sums per term are added by groups of terms. What moves
+    and what comes back is bounded by vocabulary size times basis width.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    size, width = basis.shape
+    shared = vectors.sparkSession.sparkContext.broadcast(basis)
 
-    rows = vectors.select("positions", "values").rdd.map(
-        lambda r: Vectors.sparse(size, r["positions"], r["values"])
-    )
-    solved = RowMatrix(rows, numCols=size).computeSVD(k, computeU=False)
-    return solved.V.toArray()
+    def partial(batches):
+        sums, seen = np.zeros((size, width)), np.zeros(size, dtype=bool)
+        for batch in batches:
+            for positions, values in zip(batch["positions"], batch["values"]):
+                at, x = np.asarray(positions, dtype=int), np.asarray(values)
+                sums[at] += np.outer(x, x @ shared.value[at])
+                seen[at] = True
+        terms = np.flatnonzero(seen)
+        yield pd.DataFrame({"term_index": terms, "part": list(sums[terms])})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        parts = np.stack(group["part"].to_numpy())
+        terms, where = np.unique(group["term_index"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(terms), width))
+        np.add.at(total, where, parts)
+        return pd.DataFrame({"term_index": terms, "part": list(total)})
+
+    schema = "term_index bigint, part array<double>"
+    rows = vectors.select("positions", "values").mapInPandas(partial, schema)
+    bucket = F.floor(F.col("term_index") / 256)
+    added = rows.groupBy(bucket.alias("_b")).applyInPandas(add, schema).toPandas()
+    result = np.zeros((size, width))
+    if len(added):
+        result[added["term_index"].to_numpy(dtype=int)] = np.stack(added["part"].to_numpy())
+    shared.unpersist()
+    return result
+
+
+def svd_components(
+    vectors: DataFrame, size: int, k: int, passes: int = 5, seed: int = 42
+) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (``size`` x ``k``) and singular values of the weight matrix.
+
+    Randomised subspace iteration: ``passes`` + 1 jobs over the rows, each multiplying the
+    Gram matrix with a basis a little wider than ``k``.
+    """
+    width = min(k + 10, size)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))
+    for _ in range(passes):
+        basis, _ = np.linalg.qr(_gram_times(vectors, basis))
+    small = basis.T @ _gram_times(vectors, basis)
+    values, turned = np.linalg.eigh((small + small.T) / 2)
+    best = np.argsort(values)[::-1][:k]
+    components = basis @ turned[:, best]
+    # The largest entry of a component is positive, so that signs do not depend on chance.
+    signs = np.sign(components[np.abs(components).argmax(axis=0), np.arange(len(best))])
+    return components * np.where(signs == 0, 1, signs), np.sqrt(np.maximum(values[best], 0))
 
 
 def project(vectors: DataFrame, key: str, components: np.ndarray) -> DataFrame:
@@ -163,9 +207,9 @@ def standardize(df: DataFrame, vector: str, name: str | None = None) -> DataFram
 
 def svd_features(weights: DataFrame, key: str, size: int, k: int = 300) -> DataFrame:
     """Truncated SVD coordinates of TF-IDF weights, standardised. Runs the SVD jobs."""
-    vectors = sparse_vectors(weights, key)
-    components = svd_components(vectors, size, min(k, size))
-    return standardize(project(vectors, key, components), "features")
+    vectors = materialize(sparse_vectors(weights, key))
+    components, _ = svd_components(vectors, size, min(k, size))
+    return standardize(materialize(project(vectors, key, components)), "features")
 
 
 def word_vectors(vocabulary: DataFrame, dim: int = 300) -> DataFrame:

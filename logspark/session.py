@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.driver.host": "127.0.0.1",
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
