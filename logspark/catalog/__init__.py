@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ("q_parse", "q_rules", "q_features", "q_windows", "q_text", "q_sequence", "q_evaluate", "q_splits", "q_models", "q_plans")
+MODULES = ("q_parse", "q_rules", "q_features", "q_windows", "q_text", "q_sequence", "q_evaluate", "q_splits", "q_models", "q_plans", "q_sources", "q_streams")
 
 
 def load_all() -> None:

@@ -18,56 +18,51 @@ def _path_under(root: str):
     return F.ltrim(F.substring(full, at + F.lit(len(anchored)), F.length(full)), F.lit("/"))
 
 
-def _text(spark: SparkSession, root: str, suffixes, **options) -> DataFrame:
+def _text(spark: SparkSession, root: str, suffixes, exclude, whole: bool) -> DataFrame:
+    """(path, value, split start) of the wanted files below a root."""
     glob = "*.{" + ",".join([*suffixes, *[s.upper() for s in suffixes]]) + "}"
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.text(root)
-
-
-def read_logs(
-    spark: SparkSession, root: str, exclude=(GOLD_FILE,), suffixes=SUFFIXES
-) -> DataFrame:
-    """(path, line_no, line) of every log file below ``root``.
-
-    Files are read as whole texts and cut into lines, so lines are numbered from 0 in file
-    order. Use ``read_log_lines`` for files too large for one row.
-    """
-    files = _text(spark, root, suffixes, wholetext="true").select(
-        _path_under(root).alias("path"), "value"
+    texts = reader.text(root, wholetext=whole).select(
+        _path_under(root).alias("path"), "value",
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
     )
-    kept = files.where(~F.element_at(F.split("path", "/"), -1).isin(*exclude)) if exclude else files
-    return kept.select(
-        "path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+    if not exclude:
+        return texts
+    return texts.where(~F.element_at(F.split("path", "/"), -1).isin(*exclude))
 
 
-def read_log_lines(
+def read_logs(
     spark: SparkSession, root: str, exclude=(GOLD_FILE,), suffixes=SUFFIXES
 ) -> DataFrame:
-    """(path, line_no, line) of large files, read in splits.
+    """(path, line_no, line) of every log file below ``root``, numbered from 0 per file.
 
-    A line is placed by the start of its split and its number inside the split, which
-    gives an order but not a number; ``line_no`` comes from counting per split.
+    Files of any size are read in splits. Inside a split rows have consecutive ids; the
+    lines of the splits before it are counted, which reads the files twice.
     """
-    lines = _text(spark, root, suffixes).select(
-        _path_under(root).alias("path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"),
-    )
-    kept = lines.where(~F.element_at(F.split("path", "/"), -1).isin(*exclude)) if exclude else lines
-    # Inside a split the ids follow each other; the first one is the split's origin.
-    starts = kept.groupBy("path", "_start").agg(
+    lines = _text(spark, root, suffixes, exclude, whole=False)
+    starts = lines.groupBy("path", "_start").agg(
         F.min("_id").alias("_first"), (F.max("_id") - F.min("_id") + 1).alias("n")
     )
     offsets = frames.sums_along(starts.select("path", "_start", "n"), "_start", ["n"], by=["path"])
     placed = starts.join(offsets, ["path", "_start"]).select("path", "_start", "_first", "cum_n")
-    return kept.join(placed, ["path", "_start"]).select(
-        "path", (F.col("cum_n") + F.col("_id") - F.col("_first")).alias("line_no"), "line"
+    return lines.join(placed, ["path", "_start"]).select(
+        "path", (F.col("cum_n") + F.col("_id") - F.col("_first")).alias("line_no"),
+        F.col("value").alias("line"),
     )
 
 
+def read_small_logs(
+    spark: SparkSession, root: str, exclude=(GOLD_FILE,), suffixes=SUFFIXES
+) -> DataFrame:
+    """The same for many small files: each is read once, as one text, and cut into lines."""
+    texts = _text(spark, root, suffixes, exclude, whole=True).where(F.length("value") > 0)
+    body = F.regexp_replace("value", r"(?:\r\n|\n|\r)\z", "")
+    return texts.select(
+        "path", F.posexplode(F.split(body, "\r\n|\n|\r")).alias("line_no", "line")
+    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
 def select_datasets(logs: DataFrame, wanted: DataFrame, path: str = "path") -> DataFrame:
     """Only the rows of the wanted files; ``wanted`` has one column ``path``."""
     return logs.join(wanted.select(F.col("path").alias(path)).distinct(), path, "left_semi")
