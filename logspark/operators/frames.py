@@ -87,13 +87,27 @@ def line_index(
     keyed = df.withColumn("_blk", F.floor(F.col(order) / block))
     counts = keyed.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("n"))
     starts = sums_along(counts, "_blk", ["n"], by)
-    inside = Window.partitionBy(*by, "_blk").orderBy(order)
-    numbered = by_block(keyed, by).withColumn("_rn", F.row_number().over(inside))
-    return null_safe_join(numbered, starts, [*by, "_blk"]).select(
+    numbered = rank_in_place(keyed, [*by, "_blk"], order, starts, ["cum_n"])
+    return numbered.select(
         *df.columns, (F.col("cum_n") + F.col("_rn") - 1).cast("bigint").alias(name)
     )
 
 
+def rank_in_place(df: DataFrame, keys, order: str, facts: DataFrame, columns) -> DataFrame:
+    """Rank rows inside their block and add facts about the block.
+
+    The rows move once: rank and join use the same key, a struct, in which null equals
+    null. The hint keeps a small input from being broadcast to the few rows of ``facts``,
+    which would leave all later work to their few tasks.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = df.withColumn("_place", F.struct(*keys)).repartition(width, "_place")
+    inside = Window.partitionBy("_place").orderBy(order)
+    ranked = placed.withColumn("_rn", F.row_number().over(inside))
+    known = facts.select(F.struct(*keys).alias("_place"), *columns)
+    return ranked.hint("merge").join(known, "_place").drop("_place")
+
+
 def by_block(df: DataFrame, by=()) -> DataFrame:
     """Place rows by block, in as many partitions as the session shuffles into.
 
@@ -249,10 +263,7 @@ def hash_rank_filter(
             ), F.lit(0),
         ).alias("_before"),
     )
-    inside = Window.partitionBy(*by, "_part").orderBy(hash_col)
-    ranked = parts.withColumn("_rn", F.row_number().over(inside))
-    return (
-        null_safe_join(ranked, starts, [*by, "_part"])
-        .withColumn(rank, F.col("_before") + F.col("_rn") <= wanted)
-        .drop("_part", "_rn", "_before")
-    )
+    ranked = rank_in_place(parts, [*by, "_part"], hash_col, starts, [size, "_before"])
+    return ranked.withColumn(
+        rank, F.col("_before") + F.col("_rn") <= wanted
+    ).drop("_part", "_rn", "_before")
