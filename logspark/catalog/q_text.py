@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..operators import tfidf
 from . import query, sqlparts as D
 from .inputs import table
 
 
-def _stop_words_sql() -> str:
-    """Spark's English list as a SQL list, read from the library's own file."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    for jar in sorted(jars.glob("spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as archive:
-            text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-            return ", ".join(D.q(word.strip()) for word in text.splitlines() if word.strip())
-    raise FileNotFoundError("spark-mllib jar")
-
-
-_STOP = _stop_words_sql()
+_STOP = ", ".join(D.q(word) for word in P.ENGLISH_STOP_WORDS)
 _TOKENS = f"""toks AS (
   SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w
   FROM documents)"""

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import patterns as P
@@ -19,8 +18,8 @@ MAX_BROADCAST_TERMS = 100_000
 
 
 def english_stop_words() -> list[str]:
-    """Spark's own English list."""
-    return StopWordsRemover.loadDefaultStopWords("english")
+    """The English list the vectoriser leaves out."""
+    return list(P.ENGLISH_STOP_WORDS)
 
 
 def words_of(text: Column, stop_words=()) -> Column:
