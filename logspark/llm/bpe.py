@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import unused
+
 # Pieces and pairs a worker remembers; a memory is emptied when it is full.
 REMEMBERED = 300_000
 # A space at an end of the text or beside other white space.
@@ -218,7 +220,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, name: str = "ids")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], lists], [*batch.schema.names[:-1], name])
 
-    kept = df.select(*columns, F.col(text).alias("_text"))
+    kept = df.select(*columns, F.col(text).alias(unused(df, "_text")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]]
     return kept.mapInArrow(work, ", ".join([*fields, f"`{name}` array<int>"]))
 
@@ -235,7 +237,7 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, name: str = "decode
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(made, pa.binary())], [*batch.schema.names[:-1], name])
 
-    kept = df.select(*columns, F.col(ids).alias("_ids"))
+    kept = df.select(*columns, F.col(ids).alias(unused(df, "_ids")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]]
     return kept.mapInArrow(work, ", ".join([*fields, f"`{name}` binary"]))
 

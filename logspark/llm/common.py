@@ -21,6 +21,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.frames import null_safe_join
-from .common import SPACE, stored
+from .common import SPACE, stored, unused
 
 GOLDEN = (5 ** 0.5 - 1) / 2
 STRETCH = 4096   # slots ranked together
@@ -171,13 +171,12 @@ def plan(
 def mix(df: DataFrame, key: str, text: str, source: str, **settings) -> DataFrame:
     """The documents of the mix, whole: each as often as the plan takes it, rounded, with
     all columns. A document of which less than half is taken is not in the mix."""
-    mark = "_mix_row"
-    while mark in df.columns:
-        mark += "_"
+    mark = unused(df, "_mix_row")
     marked = stored(df.withColumn(mark, F.monotonically_increasing_id()), "to-mix")
     planned = plan(marked, mark, text, source, **settings)
     copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    chosen = planned.select(F.col(mark).alias("_r"), copies.alias("_copies")).where("_copies > 0")
+    times = unused(df, "_mix_copies")
+    chosen = planned.select(F.col(mark).alias("_r"), copies.alias(times)).where(F.col(times) > 0)
     joined = marked.join(chosen, marked[mark] == chosen["_r"])
-    repeated = joined.select(*[marked[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    repeated = joined.select(*[marked[c] for c in df.columns], F.explode(F.sequence(F.lit(1), chosen[times])))
     return repeated.select(*df.columns)
