@@ -23,14 +23,37 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import unused
+from .common import slices, unused
 
-# Pieces and pairs a worker remembers; a memory is emptied when it is full.
-REMEMBERED = 300_000
+# Entries of each of a worker's memories, of under 70 MB: pieces, chunks, pairs.
+REMEMBERED = 150_000
+ROWS = 256  # texts handled together
 # A space at an end of the text or beside other white space.
 BLANKS = regex.compile(r"^ | $| \s|\s ").search
 
 
+class Memory:
+    """Remembers the values of a function for up to two generations of keys.
+
+    ``young`` may be read directly. When it is full it becomes the old generation; what is
+    asked for again moves back, so frequent keys stay and rare ones are forgotten.
+    """
+
+    def __init__(self, make, most: int = REMEMBERED):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def __call__(self, key):
+        made = self.young.get(key)
+        if made is None:
+            made = self.old.get(key)
+            if made is None:
+                made = self.make(key)
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = made
+        return made
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary."""
 
@@ -40,16 +63,17 @@ class Encoder:
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
         self.automaton.make_automaton()
         self.shorter = {rank: self._prefix(token) for token, rank in ranks.items()}
         self.joined: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
         for rank in sorted(self.token):
             self._learn(rank)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple] = {}
+        self.fits = Memory(lambda pair: self._apart(pair >> 32, pair & 0xFFFFFFFF))
+        self.known = Memory(lambda piece: self.piece(piece.encode()))
+        self.coded = Memory(self._ids)
+        self.rounds = Memory(self._round)
         self.leads = leads
 
     def _prefix(self, token: bytes) -> int | None:
@@ -96,88 +120,81 @@ class Encoder:
 
     def may_follow(self, one: int, two: int) -> bool:
         """Memoised adjacent-token compatibility."""
-        known = self.fits.get((one, two))
-        if known is None:
-            if len(self.fits) >= 4 * REMEMBERED:
-                self.fits.clear()
-            known = self.fits[one, two] = self._apart(one, two)
-        return known
+        return self.fits(one << 32 | two)
 
     def _longest(self, data: str) -> list[int]:
         """The longest token at each place."""
         best = [-1] * len(data)
-        size = self.size
-        for end, rank in self.automaton.iter(data):
-            begin = end + 1 - size[rank]
-            best[begin] = rank  # matches come by rising end, so the last is the longest
+        for end, (before, rank) in self.automaton.iter(data):
+            best[end - before] = rank  # matches come by rising end, so the last is the longest
         return best
 
     def piece(self, data: bytes) -> tuple[int, ...]:
         """The tokens of one piece."""
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        best, size = self._longest(data.decode("latin-1")), self.size
-        end, at, out = len(data), 0, []
+        best, size, shorter = self._longest(data.decode("latin-1")), self.size, self.shorter
+        fits, known = self.fits, self.fits.young.get
+        end, at, out, last = len(data), 0, [], -1
         open_ = bytearray(b"\x01") * (end + 1)  # places that were not given up
         token = best[0]
         while at < end:
             if token is None:  # nothing fits here: give the place up, shorten what led to it
                 open_[at] = 0
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= size[token]
-                token = self.shorter[token]
+                token = shorter[token]
                 continue
             to = at + size[token]
-            if open_[to] and (not out or self.may_follow(out[-1], token)):
+            fit = open_[to]
+            if fit and last >= 0:
+                fit = known(last << 32 | token)
+                if fit is None:
+                    fit = fits(last << 32 | token)
+            if fit:
                 out.append(token)
-                at = to
+                last, at = token, to
                 token = best[at] if at < end else None
             else:
-                token = self.shorter[token]
+                token = shorter[token]
         return tuple(out)
 
     def pieces(self, text: str) -> list[tuple[int, ...]]:
         """The tokens of each match of the pattern."""
-        known, out = self.known, []
-        for match in self.find(text):
-            ids = known.get(match)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.piece(match.encode())
-                if len(match) <= 64:
-                    known[match] = ids
-            out.append(ids)
-        return out
-
-    def _chunk(self, chunk: str) -> tuple:
-        ids = tuple(rank for piece in self.pieces(chunk) for rank in piece)
-        made = (ids, ",".join(map(str, ids)), self.decode(ids))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[chunk] = made
-        return made
+        known = self.known
+        return [known(m) if len(m) <= 64 else self.piece(m.encode()) for m in self.find(text)]
 
-    def coded(self, text: str) -> list[tuple]:
-        """The text in chunks: (ids, ids as text, decoded ids), remembered by chunk.
+    def chunks(self, text: str | None) -> list[str]:
+        """The text cut where a piece must begin.
 
         In the published patterns a space only begins a piece or lies among other white
-        space. So a single space between two other characters always begins a piece, and
-        the text may be cut there.
+        space. So a single space between two other characters always begins a piece.
         """
         if not text:
             return []
         if not self.leads or BLANKS(text):
-            return [self._chunk(text)]
+            return [text]
         parts = text.split(" ")
-        get, found = self.chunks.get, []
-        for chunk in (parts[0], *[" " + part for part in parts[1:]]):
-            found.append(get(chunk) or self._chunk(chunk))
-        return found
+        return [parts[0], *[" " + part for part in parts[1:]]]
+
+    def _ids(self, chunk: str) -> tuple[int, ...]:
+        return tuple([rank for piece in self.pieces(chunk) for rank in piece])
+
+    def _round(self, chunk: str) -> tuple:
+        ids = self._ids(chunk)
+        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+
+    def _each(self, text: str | None, memory: Memory, make) -> list:
+        get = memory.young.get
+        return [get(c) or (memory(c) if len(c) <= 64 else make(c)) for c in self.chunks(text)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [rank for ids, _, _ in self.coded(text or "") for rank in ids]
+        return [rank for ids in self._each(text, self.coded, self._ids) for rank in ids]
+
+    def round_trip(self, text: str | None) -> list[tuple]:
+        """(number of ids, ids as text, decoded ids) of each chunk."""
+        return self._each(text, self.rounds, self._round)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -212,7 +229,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, name: str = "ids")
 
     def work(batches):
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             made = [encoder.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             ends = np.cumsum([0, *map(len, made)])
             flat = np.fromiter((i for ids in made for i in ids), np.int32, int(ends[-1]))
@@ -232,7 +249,7 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, name: str = "decode
 
     def work(batches):
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             made = [None if i is None else encoder.decode(i) for i in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(made, pa.binary())], [*batch.schema.names[:-1], name])
@@ -248,11 +265,11 @@ def digests(df: DataFrame, key: str, text: str, path: str, pattern: str) -> Data
 
     def work(batches):
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             counts, coded, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                chunks = encoder.coded(text or "")
-                counts.append(sum([len(ids) for ids, _, _ in chunks]))
+                chunks = encoder.round_trip(text)
+                counts.append(sum([n for n, _, _ in chunks]))
                 joined = ",".join([said for _, said, _ in chunks])
                 coded.append(sha256(joined.encode()).hexdigest())
                 decoded.append(sha256(b"".join([back for _, _, back in chunks])).hexdigest())

@@ -21,6 +21,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int):
+    """Arrow batches cut into smaller ones, so that what is made of a batch stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column has it in any case."""
     taken = {c.lower() for c in df.columns}
