@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, unused
 
-# Entries of each of a worker's memories, of under 70 MB: pieces, chunks, pairs.
+# Entries of a generation of a worker's memories of pieces and chunks, of under 70 MB; twice
+# as many for pairs and for whole round trips.
 REMEMBERED = 150_000
 ROWS = 256  # texts handled together
 # A space at an end of the text or beside other white space.
@@ -70,10 +71,10 @@ class Encoder:
         self.halves: dict[int, tuple[int, int]] = {}
         for rank in sorted(self.token):
             self._learn(rank)
-        self.fits = Memory(lambda pair: self._apart(pair >> 32, pair & 0xFFFFFFFF))
+        self.fits = Memory(lambda pair: self._apart(pair >> 32, pair & 0xFFFFFFFF), 2 * REMEMBERED)
         self.known = Memory(lambda piece: self.piece(piece.encode()))
         self.coded = Memory(self._ids)
-        self.rounds = Memory(self._round)
+        self.rounds = Memory(self._round, 2 * REMEMBERED)
         self.leads = leads
 
     def _prefix(self, token: bytes) -> int | None:
@@ -179,6 +180,9 @@ class Encoder:
         return [parts[0], *[" " + part for part in parts[1:]]]
 
     def _ids(self, chunk: str) -> tuple[int, ...]:
+        # In the published patterns letters with at most a space before them are one piece.
+        if self.leads and chunk[chunk[0] == " ":].isalpha():
+            return self.piece(chunk.encode())
         return tuple([rank for piece in self.pieces(chunk) for rank in piece])
 
     def _round(self, chunk: str) -> tuple:
