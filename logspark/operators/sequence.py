@@ -172,14 +172,22 @@ def pattern_score(rows: DataFrame, patterns: DataFrame, length: int = 10) -> Dat
 
 def sequence_ensemble(
     df: DataFrame, order: str, message: str, by=(), length: int = 10, weights=(0.6, 0.4),
-    threshold: float = 0.7, numbered: bool = False,
+    threshold: float = 0.7, numbered: bool = False, fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit both models on the table and score it: both scores, their blend and a flag."""
+    """Both scores of each row, their blend and a flag.
+
+    Both models are fitted on ``fit_on`` (the training part), else on the table itself.
+    """
     keyed = sequence_keys(df, order, message, by, length, numbered)
-    by_frequency = sequence_score(keyed, sequence_fit(keyed))
-    vocabulary = build_vocabulary(df, message)
+    learned = df if fit_on is None else fit_on
+    learned_keys = keyed if fit_on is None else sequence_keys(
+        learned, order, message, by, length, numbered)
+    by_frequency = sequence_score(keyed, sequence_fit(learned_keys))
+    vocabulary = build_vocabulary(learned, message)
     rows = pattern_rows(df, order, message, vocabulary, by, length, numbered=numbered)
-    by_pattern = pattern_score(rows, pattern_fit(rows, length), length)
+    learned_rows = rows if fit_on is None else pattern_rows(
+        learned, order, message, vocabulary, by, length, numbered=numbered)
+    by_pattern = pattern_score(rows, pattern_fit(learned_rows, length), length)
     both = by_frequency.select(*df.columns, "sequence_score").join(
         by_pattern.select(order, "pattern_score"), order
     )

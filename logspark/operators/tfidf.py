@@ -189,9 +189,14 @@ def project(vectors: DataFrame, key: str, components: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(coordinates, f"{key} {kind}, features array<double>")
 
 
-def standardize(df: DataFrame, vector: str, name: str | None = None) -> DataFrame:
-    """Each dimension minus its mean over its population deviation; constant ones give 0."""
-    long = df.select(F.posexplode(vector).alias("_dim", "_x"))
+def standardize(
+    df: DataFrame, vector: str, name: str | None = None, fit_on: DataFrame | None = None
+) -> DataFrame:
+    """Each dimension minus its mean over its population deviation; constant ones give 0.
+
+    Mean and deviation are those of ``fit_on`` (the training part), else of the table.
+    """
+    long = (df if fit_on is None else fit_on).select(F.posexplode(vector).alias("_dim", "_x"))
     per_dim = long.groupBy("_dim").agg(
         F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std")
     )

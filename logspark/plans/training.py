@@ -109,8 +109,8 @@ class AdvancedResult:
 
 
 def train_advanced(
-    lines: DataFrame, order: str = "line_no", test_ratio: float = 0.2, svd: int = 50,
-    max_features: int = 2000, sequence_length: int = 3, sample: int | None = None,
+    lines: DataFrame, order: str = "line_no", test_ratio: float = 0.2, svd: int = 300,
+    max_features: int = 10_000, sequence_length: int = 10, sample: int | None = None,
     small: bool = False, seed: int = 42, **grid_options,
 ) -> AdvancedResult:
     """Features, text, model grid, sequence and rules; six verdicts on the last rows.
@@ -135,7 +135,8 @@ def train_advanced(
     numbers = F.array(*[F.col(c) for c in features.ALL_FEATURES])
     whole = made.select(order, "part", numbers.alias("_n"), "content", "log_level", "ip_address").join(
         coordinates, order).withColumn("vector", F.concat("_n", "features"))
-    rows = materialize(tfidf.standardize(whole.drop("_n", "features"), "vector"))
+    whole = materialize(whole.drop("_n", "features"))
+    rows = materialize(tfidf.standardize(whole, "vector", fit_on=whole.where("part = 'train'")))
     train = rows.where("part = 'train'")
     test = rows.where("part = 'test'")
 
@@ -154,6 +155,7 @@ def train_advanced(
     means = chosen_scores.groupBy(order).agg((-F.avg("score")).alias("ml_score"))
     sequences = sequence.sequence_ensemble(
         test.select(order, "content"), order, "content", length=sequence_length,
+        fit_on=train.select(order, "content"),
     ).select(order, F.col("ensemble_score").alias("sequence_score"))
     parts = labels.join(votes, order).join(means, order).join(sequences, order)
     fused = fuse.fused_scores(parts, small=small)
@@ -179,5 +181,6 @@ def train_advanced(
 
 
 def train_sampled(lines: DataFrame, order: str = "line_no", sample: int = 10_000, **options) -> AdvancedResult:
-    """The sampled variant: 30 percent test rows and its own blend weights."""
+    """The sampled variant: 30 percent test rows, its own sizes and blend weights."""
+    options = {"svd": 200, "max_features": 5000, "sequence_length": 5, **options}
     return train_advanced(lines, order, test_ratio=0.3, sample=sample, small=True, **options)

@@ -18,9 +18,15 @@ def _path_under(root: str):
     return F.ltrim(F.substring(full, at + F.lit(len(anchored)), F.length(full)), F.lit("/"))
 
 
+def any_case(suffixes) -> str:
+    """A path pattern for the suffixes in upper, lower or mixed case."""
+    spelled = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "*.{" + ",".join(spelled) + "}"
+
+
 def _text(spark: SparkSession, root: str, suffixes, exclude, whole: bool) -> DataFrame:
     """(path, value, split start) of the wanted files below a root."""
-    glob = "*.{" + ",".join([*suffixes, *[s.upper() for s in suffixes]]) + "}"
+    glob = any_case(suffixes)
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     texts = reader.text(root, wholetext=whole).select(
         _path_under(root).alias("path"), "value",
@@ -80,7 +86,7 @@ def dataset_inventory(spark: SparkSession, root: str, parsed: DataFrame, exclude
 
     ``parsed`` has a row per record and a column ``path``. Files without records stay.
     """
-    glob = "*.{" + ",".join(SUFFIXES) + "}"
+    glob = any_case(SUFFIXES)
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).load(root)
