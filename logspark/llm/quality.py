@@ -16,6 +16,7 @@ whole text in place, without a shuffle.
 
 Nulls and edge cases: a null text is an empty one; empty texts have a score like any other;
 labels without a document or with nulls are left out, of several labels the largest counts;
+rows that repeat a key count once in learning, so what the driver gathers is bounded by keys;
 without a positive or an unlabelled text the score is the prior for all, 0.5 unless it can
 be estimated; repeated rows stay, extra columns pass through ``keep_good``.
 """
@@ -151,17 +152,20 @@ def fit(
     share = min(1.0, unlabelled / max(1, df.count()))
     unknown = F.pmod(F.xxhash64(F.col(key), F.lit("unlabelled")), F.lit(1 << 31)) < int(share * (1 << 31))
     chosen = rows.join(F.broadcast(ids), key, "left").select(
-        F.coalesce("_p", F.lit(False)).alias("p"), unknown.alias("u"), "_text").where("p OR u")
+        F.col(key).alias("key"), F.coalesce("_p", F.lit(False)).alias("p"), unknown.alias("u"),
+        "_text").where("p OR u")
 
     def work(batches):
         for batch in batches:
-            table = np.array([statistics(t) for t in batch.column(2).to_pylist()], dtype=float)
+            table = np.array([statistics(t) for t in batch.column(3).to_pylist()], dtype=float)
             table = table.reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(table), pa.list_(pa.float64()))],
-                ["p", "u", "x"])
+                [*batch.columns[:3], pa.array(list(table), pa.list_(pa.float64()))],
+                ["key", "p", "u", "x"])
 
-    got = chosen.mapInArrow(work, "p boolean, u boolean, x array<double>").toPandas()
+    kind = df.schema[key].dataType.simpleString()
+    measured = chosen.mapInArrow(work, f"key {kind}, p boolean, u boolean, x array<double>")
+    got = measured.groupBy("key", "p", "u").agg(F.min("x").alias("x")).toPandas()
     table = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
     # The same rows in the same order in every run.
     order = np.lexsort(table.T) if len(table) else slice(0)

@@ -10,7 +10,7 @@ little when denied or quoted and for more when aimed at someone. A text's score
 curve, fitted to labelled texts, over the summed weight of its matched clauses.
 
 Learning reads at most ``per_class`` labelled texts of each class (smallest hashes, a
-parameter). Equal texts count once, and a word must prove itself in different contexts, so
+parameter), one text for each key. Equal texts count once, and a word must prove itself in different contexts, so
 copies of one toxic text do not make all its words toxic. Scoring reads every whole text in
 place, without a shuffle.
 
@@ -183,8 +183,9 @@ def fit(
         labelled_sample(labels, key, label, 0, train, per_class).withColumn("toxic", F.lit(0)))
     chosen = df.select(key, F.col(text).alias("text")).where(train & F.col("text").isNotNull()).join(
         F.broadcast(ids), key)
-    # Equal texts once; the sample is bounded, and so is what moves here.
-    texts = chosen.groupBy(F.sha2("text", 256).alias("h")).agg(
+    # One text for each key, equal texts once: the sample is bounded, whatever repeats a key.
+    single = chosen.groupBy(key).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = single.groupBy(F.sha2("text", 256).alias("h")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model()

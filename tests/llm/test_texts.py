@@ -139,6 +139,18 @@ def test_risk_is_never_negative_and_separates():
     assert (margin(good) > 0).mean() > 0.95 and (margin(bad[250:]) < 0).mean() > 0.95
 
 
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_a_repeated_key_is_learned_once(spark, module, label):
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    first = labels.where(F.col(label) == 1).agg(F.min("doc_id")).scalar()
+    again = rows.where(F.col("doc_id") == first).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("_n")
+    fits = [module.fit(t, labels, "doc_id", "text", label, F.lit(True)) for t in (rows, rows.union(again))]
+    assert all(np.array_equal(a, b) for a, b in zip(*(vars(f).values() for f in fits)))
+
+
 @pytest.mark.parametrize("query", ["op5_toxicity_grammar", "op6_positive_unlabelled_quality"])
 def test_scores_of_odd_tables(spark, odd, odd_folder, empty_folder, query):
     rows = queries.QUERIES[query](spark, odd_folder).collect()
