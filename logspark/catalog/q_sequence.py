@@ -69,20 +69,21 @@ def build_vocabulary(spark, sf_dir):
     return sequence.build_vocabulary(table(spark, sf_dir, "documents"), "text")
 
 
-# Messages whose beginning is the event type and whose words differ by user.
-PL, CHARS = 3, 4
-_MESSAGE = "concat(event_type, ' u', CAST(user_id % 7 AS STRING))"
+# Messages of two kinds, alike for over fifty characters, whose last word differs by user.
+PL, CHARS = 10, 50
+_MESSAGE = """concat(CASE WHEN event_type = 'purchase' THEN 'gateway finished the request of a customer in good order for'
+  ELSE 'worker reports the usual state of its queue to the log for' END, CASE WHEN user_id % 7 = 0 THEN ' guest' ELSE ' member' END)"""
+_PLACES = range(1, PL + 1)
 _PATTERN = f"""msg AS (SELECT event_id, {_MESSAGE} AS m FROM events),
-voc AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (
-  SELECT unnest(string_split(m, ' ')) AS word FROM msg) GROUP BY word HAVING count(*) >= 2),
-one AS (SELECT event_id, m, coalesce(a.i, 0) AS i1, coalesce(b.i, 0) AS i2 FROM msg
-  LEFT JOIN voc a ON a.word = string_split(m, ' ')[1] LEFT JOIN voc b ON b.word = string_split(m, ' ')[2]),
-prow AS (SELECT event_id, CASE WHEN event_id >= 2 THEN concat_ws('|', lag(substr(m, 1, 4), 2) OVER o, lag(substr(m, 1, 4)) OVER o, substr(m, 1, 4)) END AS k,
-  lag(i1, 2) OVER o AS x0, lag(i2, 2) OVER o AS x1, lag(i1, 1) OVER o AS x2 FROM one WINDOW o AS (ORDER BY event_id)),
-pfit AS (SELECT k, count(*) AS seen, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x0) AS s0, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2
+said AS (SELECT event_id, unnest(string_split(m, ' ')) AS word, generate_subscripts(string_split(m, ' '), 1) AS pos FROM msg),
+voc AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (SELECT word FROM said GROUP BY 1 HAVING count(*) >= 2)),
+idx AS (SELECT event_id, list(coalesce(i, 0) ORDER BY pos) AS ix FROM said LEFT JOIN voc USING (word) WHERE pos <= {PL} GROUP BY 1),
+prow AS (SELECT event_id, CASE WHEN event_id >= {PL - 1} THEN array_to_string(list(substr(m, 1, {CHARS})) OVER o, '|') END AS k,
+  flatten(list(ix) OVER o) AS x FROM msg JOIN idx USING (event_id) WINDOW o AS (ORDER BY event_id ROWS BETWEEN {PL - 1} PRECEDING AND CURRENT ROW)),
+pfit AS (SELECT k, count(*) AS seen, {', '.join(f'avg(x[{n}]) AS m{n - 1}, stddev_pop(x[{n}]) AS s{n - 1}' for n in _PLACES)}
   FROM prow WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
 pscore AS (SELECT event_id, CASE WHEN prow.k IS NULL THEN 0::DOUBLE WHEN seen IS NULL THEN 0.8::DOUBLE ELSE
-  tanh((abs(x0 - m0) / (s0 + 1e-8) + abs(x1 - m1) / (s1 + 1e-8) + abs(x2 - m2) / (s2 + 1e-8)) / 3 / 2) END AS pattern_score
+  tanh(({' + '.join(f'abs(x[{n}] - m{n - 1}) / (s{n - 1} + 1e-8)' for n in _PLACES)}) / {PL} / 2) END AS pattern_score
   FROM prow LEFT JOIN pfit ON pfit.k = prow.k)"""
 
 
@@ -97,8 +98,7 @@ def pattern_rows(spark, sf_dir):
         made, "event_id", "m", vocabulary, length=PL, key_chars=CHARS)
 
 
-@query("pattern_fit", f"""WITH {_PATTERN} SELECT seen, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2,
-  round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2 FROM pfit""")
+@query("pattern_fit", f"""WITH {_PATTERN} SELECT seen, {', '.join(f'round(m{n}, 6) AS m{n}, round(s{n}, 6) AS s{n}' for n in range(PL))} FROM pfit""")
 def pattern_fit(spark, sf_dir):
     patterns = sequence.pattern_fit(pattern_rows(spark, sf_dir), PL)
     return patterns.select(
@@ -113,8 +113,9 @@ def pattern_score(spark, sf_dir):
     return scored.select("event_id", F.round("pattern_score", 6).alias("pattern_score"))
 
 
-_ENSEMBLE = _PATTERN.replace("substr(m, 1, 4)", "substr(m, 1, 50)") + """, frun AS (
-  SELECT event_id, CASE WHEN event_id >= 2 THEN concat_ws('|', lag(m, 2) OVER o, lag(m) OVER o, m) END AS k FROM msg WINDOW o AS (ORDER BY event_id)
+_ENSEMBLE = _PATTERN + f""", frun AS (
+  SELECT event_id, CASE WHEN event_id >= {PL - 1} THEN array_to_string(list(m) OVER o, '|') END AS k
+  FROM msg WINDOW o AS (ORDER BY event_id ROWS BETWEEN {PL - 1} PRECEDING AND CURRENT ROW)
 ), fpat AS (SELECT k, count(*) AS seen FROM frun WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
 fscore AS (SELECT event_id, CASE WHEN frun.k IS NULL THEN 0::DOUBLE WHEN seen IS NULL THEN 1
   ELSE 1 - seen / (SELECT count(k) FROM frun) END AS sequence_score FROM frun LEFT JOIN fpat ON fpat.k = frun.k)"""
@@ -134,7 +135,7 @@ def sequence_ensemble(spark, sf_dir):
 @query("model_info", f"""WITH {_ENSEMBLE} SELECT (SELECT count(k) FROM frun) AS total_sequences, count(*) AS unique_sequences,
   min(seen) AS min_frequency, max(seen) AS max_frequency, round(avg(seen), 6) AS avg_frequency,
   round(count(*) / (SELECT count(k) FROM frun), 6) AS coverage, (SELECT count(*) FROM voc) AS vocab_size,
-  (SELECT count(*) FROM pfit) AS learned_patterns, 3 AS sequence_length, 0.6::DOUBLE AS frequency_weight, 0.4::DOUBLE AS pattern_weight
+  (SELECT count(*) FROM pfit) AS learned_patterns, {PL} AS sequence_length, 0.6::DOUBLE AS frequency_weight, 0.4::DOUBLE AS pattern_weight
 FROM fpat""")
 def model_info(spark, sf_dir):
     made = messages(spark, sf_dir)

@@ -95,7 +95,8 @@ def analyze_messages(messages: DataFrame, key: str, message: str, model: TextMod
     """A verdict per single message, each its own context.
 
     The model sees the cleaned message, or the message where cleaning leaves nothing. A
-    message of several lines is judged by its first one that gives a record.
+    message of several lines is judged by its first one that gives a record; without a
+    record the message as it is stands for it.
     """
     cleaned = F.coalesce(F.nullif(clean_message(F.col(message)), F.lit("")), F.col(message), F.lit(""))
     texts = messages.select(key, F.col(message).alias("_message"), cleaned.alias("_cleaned"))
@@ -104,7 +105,11 @@ def analyze_messages(messages: DataFrame, key: str, message: str, model: TextMod
     records = parse.parse_logs(lines, "_l", "line_no")
     first = records.groupBy(key).agg(F.min_by(
         F.struct("message", "raw", "ip_address"), "line_no").alias("_r")).select(key, "_r.*")
-    ruled = rules.run_rules(first, order=None).select(key, "rule")
+    whole = F.coalesce(F.col("_message"), F.lit(""))
+    records = texts.select(key, "_message").join(first, key, "left").select(
+        key, F.coalesce("message", F.when(F.col("raw").isNull(), whole)).alias("message"),
+        F.coalesce("raw", whole).alias("raw"), "ip_address")
+    ruled = rules.run_rules(records, order=None).select(key, "rule")
     fused = rules.combine_rule_ml(scored.join(ruled, key, "left"), label_override=False)
     return fused.select(
         key, F.col("_message").alias("message"), "prediction", "confidence", "source")
