@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import patterns as P
@@ -53,17 +55,19 @@ def tfidf_fit(
     """The vocabulary: term, term_index, corpus count, document count and idf.
 
     Keeps the ``max_features`` most frequent terms among those in at least ``min_df``
-    documents and at most the share ``max_df`` of them; ties by term.
+    documents and at most the share ``max_df`` of them; ties by term. A row is a document:
+    its terms are counted in the row, so texts never move, only combined counts per term.
     """
     stop_words = english_stop_words() if stop_words is None else list(stop_words)
     total = df.agg(F.count(F.lit(1)))
-    # One shuffle of the texts; counting per document then stays where the text is.
-    placed = df.select(key, text).repartition(key)
-    per_document = _term_rows(placed, key, text, ngrams, stop_words).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("_tf")
-    )
-    counted = per_document.groupBy("term").agg(
-        F.sum("_tf").alias("corpus_count"), F.count(F.lit(1)).alias("doc_count")
+    worded = settle(df.select(words_of(F.col(text), stop_words).alias("_words")))
+    ordered = settle(worded.select(F.array_sort(terms_of(F.col("_words"), ngrams)).alias("_terms")))
+    # Equal terms stand side by side; the first of them counts for the document.
+    marked = ordered.select(F.inline(F.transform("_terms", lambda term, i: F.struct(
+        term.alias("term"),
+        F.coalesce(term != F.get(F.col("_terms"), i - 1), F.lit(True)).alias("_first")))))
+    counted = marked.groupBy("term").agg(
+        F.count(F.lit(1)).alias("corpus_count"), F.count_if("_first").alias("doc_count")
     ).withColumn("_n", total.scalar())
     kept = counted.where(
         (F.col("doc_count") >= min_df) & (F.col("doc_count") <= F.col("_n") * F.lit(max_df))
@@ -97,6 +101,51 @@ def tfidf_transform(
     return raw.select(key, "term", "term_index", (F.col("_w") / norm).alias("weight"))
 
 
+def tfidf_vectors(
+    df: DataFrame, vocabulary: DataFrame, key: str, text: str, ngrams=(1, 2),
+    stop_words=None, sublinear: bool = True, max_features: int = 5000,
+) -> DataFrame:
+    """(key, positions, values) of every text: unit-length weights, sorted by position.
+
+    Everything happens in the row, without a shuffle. The vocabulary goes to the workers;
+    more than ``max_features`` terms are an error. A text without known terms has empty
+    arrays. Reads the vocabulary when called.
+    """
+    stop_words = english_stop_words() if stop_words is None else list(stop_words)
+    known = vocabulary.select("term", "term_index", "idf").limit(max_features + 1).toPandas()
+    if len(known) > max_features:
+        raise ValueError(f"more than {max_features} terms; raise max_features")
+    known = known.sort_values("term_index")
+    shared = df.sparkSession.sparkContext.broadcast((
+        known["term"].tolist(), known["term_index"].to_numpy(dtype=np.int64),
+        known["idf"].to_numpy(dtype=float)))
+
+    def weigh(batches):
+        terms, index, idf = shared.value
+        for batch in batches:
+            lists, count = batch.column(1), batch.num_rows
+            flat = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            found = pc.fill_null(pc.index_in(flat, value_set=pa.array(terms, flat.type)), -1).to_numpy()
+            rows = np.repeat(np.arange(count), sizes)[found >= 0]
+            places, tf = np.unique(
+                rows * max(len(terms), 1) + found[found >= 0], return_counts=True)
+            row, at = np.divmod(places, max(len(terms), 1))
+            weight = (np.log(tf) + 1 if sublinear else tf) * idf[at]
+            norm = np.sqrt(np.bincount(row, weight * weight, count))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=count))), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0),
+                pa.ListArray.from_arrays(ends, pa.array(index[at], pa.int32())),
+                pa.ListArray.from_arrays(ends, pa.array(weight / norm[row], pa.float64())),
+            ], [key, "positions", "values"])
+
+    worded = settle(df.select(key, words_of(F.col(text), stop_words).alias("_words")))
+    kind = df.schema[key].dataType.simpleString()
+    return worded.select(key, terms_of(F.col("_words"), ngrams).alias("_terms")).mapInArrow(
+        weigh, f"`{key}` {kind}, positions array<int>, values array<double>")
+
+
 def top_terms(weights: DataFrame, documents: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` terms with the highest mean weight over all documents."""
     total = documents.agg(F.count(F.lit(1)))

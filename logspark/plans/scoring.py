@@ -32,15 +32,8 @@ class TextModel:
 
 def text_vectors(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, max_features: int):
     """(key, positions, values, empty) for every text, also those without known terms."""
-    weights = tfidf.tfidf_transform(
-        texts, vocabulary, key, text, max_features=max_features)
-    joined = texts.select(key).join(tfidf.sparse_vectors(weights, key), key, "left")
-    return joined.select(
-        key,
-        F.coalesce("positions", F.array().cast("array<int>")).alias("positions"),
-        F.coalesce("values", F.array().cast("array<double>")).alias("values"),
-        F.col("positions").isNull().alias("empty"),
-    )
+    vectors = tfidf.tfidf_vectors(texts, vocabulary, key, text, max_features=max_features)
+    return vectors.withColumn("empty", F.size("positions") == 0)
 
 
 def fit_text_model(
