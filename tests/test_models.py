@@ -115,3 +115,27 @@ def test_sequence_models_on_a_small_log(spark):
     assert made["sequence_score"].iloc[-1] == 1.0 and made["pattern_score"].iloc[-1] == 0.8
     assert abs(made["sequence_score"][2] - (1 - 5 / 14)) < 1e-9
     assert made["is_anomaly"].iloc[-1] == 1
+
+
+def test_text_vectors_in_the_row_equal_the_weights_table(spark):
+    texts = spark.createDataFrame(
+        [(1, "Disk error on node seven, disk error"), (2, "login failed for root"), (3, None),
+         (4, ""), (5, "login failed for root"), (6, "unseen zebra"), (7, "error " * 5000)],
+        "id bigint, text string")
+    vocabulary = tfidf.tfidf_fit(texts.where("id <> 6"), "id", "text", max_features=50)
+    counts = {r["term"]: (r["corpus_count"], r["doc_count"]) for r in vocabulary.collect()}
+    assert counts["disk"] == (2, 1) and counts["login failed"] == (2, 2)
+    assert counts["error"] == (5002, 2) and counts["error error"] == (4999, 1)
+    wanted = {(r["id"], r["term_index"]): r["weight"] for r in tfidf.tfidf_transform(
+        texts, vocabulary, "id", "text", max_features=50).collect()}
+    rows = tfidf.tfidf_vectors(texts, vocabulary, "id", "text", max_features=50).collect()
+    assert sorted(r["id"] for r in rows) == [1, 2, 3, 4, 5, 6, 7]
+    assert all(r["positions"] == sorted(r["positions"]) for r in rows)
+    found = {(r["id"], p): v for r in rows for p, v in zip(r["positions"], r["values"])}
+    assert found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-12 for k in wanted)
+    assert not any(r["positions"] for r in rows if r["id"] in (3, 4, 6))
+    plan = tfidf.tfidf_vectors(texts, vocabulary, "id", "text")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    with pytest.raises(ValueError):
+        tfidf.tfidf_vectors(texts, vocabulary, "id", "text", max_features=2)
