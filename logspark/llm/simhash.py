@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, stored
+from .common import components, stored, unused
 
 NODE = 1024        # fingerprints under one top node
 FAN = 8            # children of an inner node
@@ -261,13 +261,27 @@ def near_duplicates(
         F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """One row for each group of near copies: that of the smallest key, all its columns.
+def keep_one(
+    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
+) -> DataFrame:
+    """One row for each group of near copies, all its columns: that of the smallest key, of
+    equal keys that of the smallest text hash.
 
-    Rows that repeat a key are copies too when that key stays; rows without a key link
-    nothing and stay.
+    Rows are chosen, not keys: a key that stands at texts of several groups stays in each
+    where it is the smallest. Rows without a key link nothing and stay.
     """
-    found = near_duplicates(df, key, text, **settings)
-    stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = df.join(stay, key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    row = unused(df, "_row_hash")
+    marked = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    keyed = marked.where(F.col(key).isNotNull())
+    one = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("said"), F.col(row).alias("row"))
+    prints = stored(
+        fingerprints(keyed.select(one.alias("one"), F.col(text).alias("text")), "one", "text", width), "fingerprints")
+    classes = stored(prints.groupBy("fingerprint").agg(F.min("key").alias("first")), "classes")
+    parts = components(near_links(classes.select("fingerprint"), distance))
+    rooted = classes.join(parts, classes["fingerprint"] == parts["node"], "left").select(
+        "first", F.coalesce("root", "fingerprint").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.id").alias(key), F.col("first.row").alias(row))
+    # Rows that are equal in all columns are one.
+    kept = keyed.join(stay, [key, row], "left_semi").dropDuplicates([key, row])
+    return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

@@ -68,6 +68,17 @@ def test_near_duplicates(spark, odd, empty):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_one_key_on_two_texts(spark):
+    """A row stays or goes by its own group, whatever else has its key."""
+    said = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    rows = [(3, said[0], 0), (5, said[0], 1), (5, said[1], 2), (5, said[1], 2), (7, said[2], 3), (7, said[0].upper(), 4), (8, said[2], 5)]
+    rows += [(9, f"{said[0]} {said[1]} {said[2]}", 6), (9, "quite another text", 7)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    for table in (frame, frame.repartition(7), frame.orderBy(F.desc("n")).coalesce(1)):
+        kept = [r["n"] for r in simhash.keep_one(table).collect()]
+        assert sorted(kept) == [0, 2, 3, 6, 7]
+
+
 def test_gray_index_finds_all_links_of_a_crowd(spark):
     """More near copies than a node holds, in many tasks."""
     dice = random.Random(7)
