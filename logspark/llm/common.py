@@ -36,6 +36,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that tells null from a skipped column."""
+    parts = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*[x for part in parts for x in (part.isNull(), part)])
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts

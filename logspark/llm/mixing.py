@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.frames import null_safe_join
-from .common import SPACE, stored, unused
+from .common import SPACE, row_hash, stored, unused
 
 GOLDEN = (5 ** 0.5 - 1) / 2
 STRETCH = 4096   # slots ranked together
@@ -79,7 +79,7 @@ def _offsets(sized: DataFrame) -> DataFrame:
     total = sized.count()
     parts = max(1, -(-total // SHARE))
     # Rows without a key are spread by their place instead.
-    hashed = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.col("row").cast("string")), "size")
+    hashed = F.xxhash64(F.coalesce(F.col("order").cast("string"), F.col("row").cast("string")), "size")
     # The hash as a fraction of the unit interval, cut into equal parts in the same order.
     spread = ((hashed / F.lit(float(1 << 63))) + 1.0) / 2.0
     rows = sized.where("size > 0").withColumn("h", hashed).withColumn(
@@ -87,7 +87,7 @@ def _offsets(sized: DataFrame) -> DataFrame:
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "part").orderBy("h", "key", "size", "row").rowsBetween(
+    inside = Window.partitionBy("source", "part").orderBy("h", "order", "size", "row").rowsBetween(
         Window.unboundedPreceding, -1)
     local = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return null_safe_join(local, bases, ["source", "part"]).select(
@@ -146,7 +146,14 @@ def plan(
     """
     sized = stored(df.select(
         F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
-        size_of(text).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+        size_of(text).alias("size"), F.col(key).alias("order"),
+        F.monotonically_increasing_id().alias("row")), "sizes")
+    return _taken(sized, weights, most, block, least).select(
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken")
+
+
+def _taken(sized: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 64, least: int = 256) -> DataFrame:
+    """The plan of written rows (key, source, size, order, row), shuffled by ``order``."""
     goal = targets(sized, weights, most)
     width = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("source_size") / least))).cast("bigint")
     planned = stored(goal.select(
@@ -164,19 +171,39 @@ def plan(
         F.sum(words * F.col("times")).cast("bigint").alias("taken"))
     known = null_safe_join(sized, planned.select("source", "source_size", "target"), ["source"])
     return known.join(taken, "row", "left").select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
+        "key", "source", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
 
 
 def mix(df: DataFrame, key: str, text: str, source: str, **settings) -> DataFrame:
     """The documents of the mix, whole: each as often as the plan takes it, rounded, with
-    all columns. A document of which less than half is taken is not in the mix."""
+    all columns. A document of which less than half is taken is not in the mix.
+
+    The shuffle follows the hash of key, text and the other columns, so the same rows give
+    the same mix wherever they stand. Equal rows are told apart by a number.
+    """
     mark = unused(df, "_mix_row")
     marked = stored(df.withColumn(mark, F.monotonically_increasing_id()), "to-mix")
-    planned = plan(marked, mark, text, source, **settings)
+    hashed = marked.select(
+        F.col(mark).alias("key"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"),
+        row_hash(df).alias("_h"), F.shiftright(F.col(mark), 33).alias("_part"))
+    hashed = stored(hashed, "hashes")
+    # Equal rows are numbered in two levels: by the partitions they stand in, then inside.
+    before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy("_h", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.groupBy("_h").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_h")
+    bases = counts.join(repeated, "_h", "left_semi").select(
+        "_h", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_h", "_part").orderBy("key")
+    numbers = hashed.select("key", "_h", "_part").join(bases, ["_h", "_part"]).select(
+        "key", (F.col("_base") + F.row_number().over(inside) - 1).alias("_number"))
+    ordered = hashed.join(numbers, "key", "left").select(
+        "key", "source", "size", F.xxhash64("_h", F.coalesce("_number", F.lit(0)).cast("bigint")).alias("order"),
+        F.col("key").alias("row"))
+    planned = _taken(stored(ordered, "sizes"), **settings)
     copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     times = unused(df, "_mix_copies")
-    chosen = planned.select(F.col(mark).alias("_r"), copies.alias(times)).where(F.col(times) > 0)
+    chosen = planned.select(F.col("key").alias("_r"), copies.alias(times)).where(F.col(times) > 0)
     joined = marked.join(chosen, marked[mark] == chosen["_r"])
     repeated = joined.select(*[marked[c] for c in df.columns], F.explode(F.sequence(F.lit(1), chosen[times])))
     return repeated.select(*df.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, slices, stored, unused
+from .common import components, row_hash, slices, stored, unused
 
 NODE = 1024        # fingerprints under one top node
 FAN = 8            # children of an inner node
@@ -418,7 +418,7 @@ def keep_one(
     at least that Jaccard similarity, however many bits of the fingerprints differ.
     """
     row = unused(df, "_row_hash")
-    marked = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    marked = df.withColumn(row, row_hash(df))
     keyed = marked.where(F.col(key).isNotNull())
     one = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("said"), F.col(row).alias("row"))
     texts = keyed.select(one.alias("one"), F.col(text).alias("text"))

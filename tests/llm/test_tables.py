@@ -325,6 +325,14 @@ def test_mixing(spark, odd, empty):
     assert mixed.columns == odd.columns
 
 
+def test_mix_does_not_depend_on_row_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.limit(3)).union(docs.limit(3))  # equal rows too
+    said = lambda frame: sorted(map(str, mixing.mix(frame, "doc_id", "text", "source").collect()))
+    one = said(docs)
+    assert one == said(docs.repartition(7)) and one == said(docs.orderBy(F.desc("doc_id")).coalesce(1))
+
+
 def test_schedule_equals_brute_force(spark):
     planned = [(0, 40, 17.0), (1, 10, 30.0), (2, 9, 0.0), (3, 500, 211.5)]
     got = mixing.schedule(spark.createDataFrame(planned, "number bigint, blocks bigint, slots double")).collect()
