@@ -45,8 +45,8 @@ def mixture(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), "text", path, pattern)
-    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), "text", path, pattern, back="round_trip")
+    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
@@ -61,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to the documents, each written and read again."""
+    """Apply the stages to the documents, each written and read again.
+
+    The last stage's flags are read here: texts that decoding does not give back are an error.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    lost = docs.where("NOT round_trip").count()
+    if lost:
+        raise ValueError(f"decoding does not give back {lost} texts")
+    return docs.drop("round_trip")

@@ -200,6 +200,10 @@ class Encoder:
         """(number of ids, ids as text, decoded ids) of each chunk."""
         return self._each(text, self.rounds, self._round)
 
+    def gives_back(self, text: str | None, ids) -> bool:
+        """Whether decoding the ids gives the text; a null text is an empty one."""
+        return self.decode(ids) == (text or "").encode()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -226,24 +230,32 @@ def _encoder(shared) -> Encoder:
     return state["encoder"]
 
 
-def encode(df: DataFrame, text: str, path: str, pattern: str, name: str = "ids") -> DataFrame:
-    """All columns and the token ids as an array column."""
+def encode(
+    df: DataFrame, text: str, path: str, pattern: str, name: str = "ids", back: str | None = None
+) -> DataFrame:
+    """All columns and the token ids as an array column. ``back`` names a further column:
+    whether the ids, decoded, are the text."""
     shared = _shared(df, path, pattern)
-    columns = [c for c in df.columns if c != name]
+    columns = [c for c in df.columns if c not in (name, back)]
+    added = [name, *([back] if back else [])]
 
     def work(batches):
         encoder = _encoder(shared)
         for batch in slices(batches, ROWS):
-            made = [encoder.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            made = [encoder.encode(t) for t in texts]
             ends = np.cumsum([0, *map(len, made)])
             flat = np.fromiter((i for ids in made for i in ids), np.int32, int(ends[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            if back:
+                lists.append(pa.array([encoder.gives_back(t, ids) for t, ids in zip(texts, made)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], lists], [*batch.schema.names[:-1], name])
+                [*batch.columns[:-1], *lists], [*batch.schema.names[:-1], *added])
 
     kept = df.select(*columns, F.col(text).alias(unused(df, "_text")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]]
-    return kept.mapInArrow(work, ", ".join([*fields, f"`{name}` array<int>"]))
+    fields += [f"`{name}` array<int>", *([f"`{back}` boolean"] if back else [])]
+    return kept.mapInArrow(work, ", ".join(fields))
 
 
 def decode(df: DataFrame, ids: str, path: str, pattern: str, name: str = "decoded") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import duckdb
@@ -11,6 +12,7 @@ import public_tokenizers
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
+import corpus_pipeline
 from logspark.llm import bpe, langid, quality, queries, secrets, toxicity
 
 PATH = public_tokenizers.path(queries.RANKS)
@@ -60,6 +62,16 @@ def _held_out_share(rows, label, parts, remainder):
     return [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % parts == remainder and r[label] is not None]
 
 
+def test_pipeline_tokens_round_trip(spark, odd, coders):
+    ours, theirs = coders
+    rows = corpus_pipeline.tokens(spark, odd, None).collect()
+    assert len(rows) == odd.count() and all(r["round_trip"] is True for r in rows)
+    want = Counter((r["doc_id"], *theirs.encode_ordinary(r["text"] or "")) for r in odd.select("doc_id", "text").collect())
+    assert Counter((r["doc_id"], *r["ids"]) for r in rows) == want
+    ids = ours.encode("two words")
+    assert ours.gives_back("two words", ids) and not ours.gives_back("two words", ids[:-1])
+
+
 def test_language_held_out(spark):
     found = queries.op3_naive_bayes_language(spark, SF).toPandas()
     own = duckdb.sql(f"select doc_id, lang from '{SF}/documents.parquet'").df().merge(found, on="doc_id")
