@@ -5,8 +5,9 @@ the corners of a cube (on a bounded, documented sample); the signs after several
 are the code. Index: the code is split into 16-bit substrings, each with its own table from
 value to rows. Search: a query probes, in every table, all values within ``reach`` bits of
 its own substring. By the pigeonhole every code within ``tables * (reach + 1) - 1`` bits is
-found, and further ones that share a close substring. All found rows are reranked by their
-exact cosine on the original vectors.
+found, and further ones that share a close substring. A query that finds fewer than ``k``
+rows of a block probes it again with the least reach that gives ``k`` (or all its rows). All
+found rows are reranked by their exact cosine on the original vectors.
 
 Every row is indexed. The rows are dealt into blocks of bounded size and the queries into
 chunks of bounded size; a task indexes one block, probes it for one chunk and gives back
@@ -87,6 +88,13 @@ def candidates(index: np.ndarray, asked: np.ndarray, reach: int) -> np.ndarray:
     return found
 
 
+def widened(index: np.ndarray, one: np.ndarray, usable: np.ndarray, least: int) -> np.ndarray:
+    """Places of the usable rows within the smallest reach that gives ``least`` of them."""
+    reach = np.bitwise_count(index ^ one).min(axis=1)
+    own = np.sort(reach[usable])
+    return np.flatnonzero(usable & (reach <= own[least - 1]))
+
+
 def cosines(rows: np.ndarray, norms: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Cosines of rows with one vector; equal rows give equal numbers wherever they stand."""
     return (rows * one).sum(axis=1) / (norms * np.sqrt((one * one).sum()))
@@ -137,9 +145,13 @@ def search(
             for first in range(0, len(asks_), 128):
                 near = candidates(codes, sought[first:first + 128], reach)
                 for i, hit in enumerate(near, first):
-                    at = np.flatnonzero(hit & (order != asks_[i]))
-                    if not len(at):
+                    usable_ = order != asks_[i]
+                    at = np.flatnonzero(hit & usable_)
+                    enough_ = min(k, int(usable_.sum()))
+                    if not enough_:
                         continue
+                    if len(at) < enough_:
+                        at = widened(codes, sought[i], usable_, enough_)
                     score = cosines(own[at], norms[at], other[i])
                     if len(at) > 4 * k:  # ties with the k-th stay in
                         least = np.partition(score, len(at) - k)[len(at) - k]

@@ -205,6 +205,23 @@ def test_neighbours_odd(spark):
     assert ann.search(frame.where("vec_id = 0"), "vec_id", "embedding", F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_are_never_too_few(spark):
+    """With the production reach: few vectors, and a query opposite to all others."""
+    dice = np.random.default_rng(3)
+    few = dice.normal(size=(6, 64))
+    near = dice.normal(size=64) + 0.05 * dice.normal(size=(600, 64))
+    near[0] = -near[1:].mean(axis=0)
+    for vectors in (few, near):
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+        asks = F.col("id").isin(0, 3)
+        rows = ann.search(frame, "vec_id", "embedding", asks).collect()
+        assert Counter(r["query_id"] for r in rows) == {0: 5, 3: 5}
+    unit = few / np.linalg.norm(few, axis=1)[:, None]
+    rows = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(few)], "vec_id bigint, embedding array<double>"),
+                      "vec_id", "embedding", F.col("id") == 0).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == sorted(range(1, 6), key=lambda i: -(unit[0] @ unit[i]))
+
+
 def brute_chats(rows):
     chats = {}
     for conv, turn, role, text in sorted(set(rows), key=lambda r: tuple((x is not None, x) for x in r)):
