@@ -35,6 +35,7 @@ FAN = 8            # children of an inner node
 PAIRS = 4_000_000  # leaf pairs looked at together, at most
 CHUNK = 32_768     # hashes counted together
 SLOTS = 1 << 18    # counters of how many texts have a shingle
+MARKS = 1 << 23    # bits that say which rows are asked for
 
 
 def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
@@ -355,20 +356,45 @@ def _prefixes(df: DataFrame, text: str, width: int, similarity: int, slots: np.n
         work, "shingle bigint, shingles bigint, n bigint")
 
 
-def _overlapping(df: DataFrame, text: str, pairs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Of the pairs (a, b) of shingle sets, those whose similarity (shared shingles by all
-    shingles of both) is high enough, counted exactly. ``df`` has ``shingles`` and a text."""
-    def work(batches):
-        for batch in slices(batches, 256):
-            names, sets = batch.column(0), []
-            for said in batch.column(1).to_pylist():
-                sets.append(_shingle_set(said, width)[0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([names, pa.array(sets, pa.list_(pa.int64()))], ["name", "own"])
+def _marks(rows: DataFrame) -> np.ndarray:
+    """A table of fixed size that has a one for every value of ``row``, and for few others."""
+    def packed(group: pa.Table) -> pa.Table:
+        bits = np.zeros(MARKS // 1024, np.uint8)
+        bits[group.column("at").to_numpy()] = 1
+        return pa.table({"block": group.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
+    place = F.pmod(F.col("row"), F.lit(MARKS))
+    split = rows.select((place % 1024).alias("block"), F.floor(place / 1024).alias("at")).distinct()
+    out = np.zeros((MARKS // 1024, 1024), bool)
+    for r in split.groupBy("block").applyInArrow(packed, "block bigint, bits binary").collect():
+        out[:, r["block"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out.reshape(-1)
+
+
+def _overlapping(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Of the pairs (a, b) of shingle sets, those whose similarity (shared shingles by all
+    shingles of both) is high enough, counted exactly. ``texts`` has (row, text), ``members``
+    a row of each set. Texts are not shuffled: only sets that are asked for leave their task.
+    """
     pairs = stored(pairs, "candidates")
     asked = pairs.select(F.col("a").alias("shingles")).union(pairs.select("b")).distinct()
-    texts = df.join(asked, "shingles", "left_semi").select("shingles", F.col(text).cast("binary").alias("text"))
-    own = stored(texts.mapInArrow(work, "name bigint, own array<bigint>"), "shingle-sets")
+    wanted = stored(members.join(asked, "shingles"), "asked")
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_marks(wanted)))
+
+    def work(batches):
+        marks = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            near = batch.filter(pa.array(marks[rows % MARKS]))
+            for part in slices([near], 256):
+                made = [_shingle_set(said, width) for said in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name for _, name in made], pa.int64()),
+                     pa.array([own.view(np.int64) for own, _ in made], pa.list_(pa.int64()))], ["name", "own"])
+
+    found = texts.mapInArrow(work, "name bigint, own array<bigint>")
+    found = found.join(wanted.select(F.col("shingles").alias("name")), "name", "left_semi").dropDuplicates(["name"])
+    own = stored(found, "shingle-sets")
     left, right = own.toDF("a", "x"), own.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(
@@ -376,7 +402,7 @@ def _overlapping(df: DataFrame, text: str, pairs: DataFrame, width: int, similar
 
 
 def _similar(
-    df: DataFrame, text: str, known: DataFrame, prefixes: DataFrame, width: int, similarity: int
+    texts: DataFrame, members: DataFrame, known: DataFrame, prefixes: DataFrame, width: int, similarity: int
 ) -> DataFrame:
     """Links (a, b) that, with the ``known`` ones, connect all shingle sets of at least the
     similarity. Runs jobs.
@@ -390,7 +416,7 @@ def _similar(
         F.min("shingles").alias("low"), F.max("shingles").alias("high")).where("low < high")
     shared = stored(entries.join(least.select("shingle", "low"), "shingle"), "shared")
     first = shared.where("shingles <> low").select(F.col("low").alias("a"), F.col("shingles").alias("b")).distinct()
-    links = stored(_overlapping(df, text, first, width, similarity).union(known), "first-links")
+    links = stored(_overlapping(texts, members, first, width, similarity).union(known), "first-links")
     parts = components(links)
     placed = shared.join(parts, shared["shingles"] == parts["node"], "left").select(
         "shingle", "shingles", "n", F.coalesce("root", "shingles").alias("root"))
@@ -402,7 +428,7 @@ def _similar(
     met = left.join(other, "shingle").where((F.col("shingles") < F.col("b")) & fits).select(
         F.col("shingles").alias("a"), "b").distinct()
     fresh = met.join(first, ["a", "b"], "left_anti")
-    return links.union(_overlapping(df, text, fresh, width, similarity))
+    return links.union(_overlapping(texts, members, fresh, width, similarity))
 
 
 def keep_one(
@@ -441,11 +467,10 @@ def keep_one(
             F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         same = classes.join(stands, "fingerprint").where("node <> shingles").select("node", "shingles")
         known = stored(near.union(same), "near-links")
-        least = classes.groupBy("shingles").agg(F.min("first").alias("first")).select(
-            "shingles", F.col("first.id").alias(key), F.col("first.row").alias(row))
-        picked = keyed.select(key, row, F.col(text).alias("_said")).join(least, [key, row]).dropDuplicates(["shingles"])
+        members = classes.groupBy("shingles").agg(F.min("first.row").alias("row"))
+        said = keyed.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text"))
         prefixes = _prefixes(texts, "text", width, similarity, _slot_counts(described))
-        links = _similar(picked.select("shingles", "_said"), "_said", known, prefixes, width, similarity)
+        links = _similar(said, members, known, prefixes, width, similarity)
     parts = components(links)
     rooted = classes.join(parts, classes["shingles"] == parts["node"], "left").select(
         "first", F.coalesce("root", "shingles").alias("root"))
