@@ -413,9 +413,11 @@ def _similar(
     """
     entries = stored(prefixes.distinct(), "prefixes")
     least = entries.groupBy("shingle").agg(
-        F.min("shingles").alias("low"), F.max("shingles").alias("high")).where("low < high")
-    shared = stored(entries.join(least.select("shingle", "low"), "shingle"), "shared")
-    first = shared.where("shingles <> low").select(F.col("low").alias("a"), F.col("shingles").alias("b")).distinct()
+        F.min("shingles").alias("low"), F.max("shingles").alias("high"),
+        F.min_by("n", "shingles").alias("low_n")).where("low < high")
+    shared = stored(entries.join(least.select("shingle", "low", "low_n"), "shingle"), "shared")
+    alike = 100 * F.least("n", "low_n") >= similarity * F.greatest("n", "low_n")
+    first = shared.where((F.col("shingles") != F.col("low")) & alike).select(F.col("low").alias("a"), F.col("shingles").alias("b")).distinct()
     links = stored(_overlapping(texts, members, first, width, similarity).union(known), "first-links")
     parts = components(links)
     placed = shared.join(parts, shared["shingles"] == parts["node"], "left").select(
