@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, row_hash, slices, stored, unused
+from .common import components, row_hash, stored, unused
 
 NODE = 1024        # fingerprints under one top node
 FAN = 8            # children of an inner node
 PAIRS = 4_000_000  # leaf pairs looked at together, at most
 CHUNK = 32_768     # hashes counted together
-SLOTS = 1 << 18    # counters of how many texts have a shingle
-MARKS = 1 << 23    # bits that say which rows are asked for
 
 
 def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
@@ -273,209 +271,26 @@ def near_duplicates(
         F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _shingle_set(text: bytes | None, width: int):
-    """The different shingle hashes of a text, sorted, and the hash of the set as a long."""
-    found = np.unique(shingle_hashes(text, width))
-    return found, int(np.uint64(xxh64_intdigest(found.tobytes())).view(np.int64))
-
-
-def _described(df: DataFrame, one: str, text: str, width: int) -> DataFrame:
-    """Rows (key, fingerprint, shingles) for each row, with the hash of the shingle set; and
-    rows (block, counts) with how many texts of a task have a shingle in each of ``SLOTS``
-    slots, ``SLOTS`` / 64 of them in a block."""
-    kind = df.schema[one].dataType
-    plain = pa.int64()
-
-    def work(batches):
-        slots, key_type = np.zeros(SLOTS, np.int64), None
-        for batch in batches:
-            key_type = batch.column(0).type
-            codes, sets = [], []
-            for said in batch.column(1).to_pylist():
-                hashes = shingle_hashes(said, width)
-                own = np.unique(hashes)
-                codes.append(majority(hashes))
-                sets.append(xxh64_intdigest(own.tobytes()))
-                np.add.at(slots, (own % np.uint64(SLOTS)).astype(np.int64), 1)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(codes, np.uint64).view(np.int64)),
-                 pa.array(np.array(sets, np.uint64).view(np.int64)), pa.nulls(n, plain), pa.nulls(n, pa.binary())],
-                ["key", "fingerprint", "shingles", "block", "counts"])
-        if key_type is not None:
-            parts = slots.reshape(64, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(64, key_type), pa.nulls(64, plain), pa.nulls(64, plain),
-                 pa.array(np.arange(64)), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["key", "fingerprint", "shingles", "block", "counts"])
-
-    return df.select(F.col(one).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        work, f"key {kind.simpleString()}, fingerprint bigint, shingles bigint, block bigint, counts binary")
-
-
-def _slot_counts(described: DataFrame) -> np.ndarray:
-    """How many texts have a shingle in each slot: a table of fixed size."""
-    def total(group: pa.Table) -> pa.Table:
-        whole = sum(np.frombuffer(c, np.int64) for c in group.column("counts").to_pylist())
-        return pa.table({"block": group.column("block")[:1], "counts": pa.array([whole.tobytes()], pa.binary())})
-
-    summed = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
-        total, "block bigint, counts binary")
-    slots = np.zeros((64, SLOTS // 64), np.int64)
-    for r in summed.collect():
-        slots[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return slots.reshape(-1)
-
-
-def _prefixes(df: DataFrame, text: str, width: int, similarity: int, slots: np.ndarray) -> DataFrame:
-    """Rows (shingle, shingles, n): the rarest shingles of each shingle set of size n, so many
-    that two sets of the similarity share one of them."""
-    shared = df.sparkSession.sparkContext.broadcast(slots.astype(np.int64))
-
-    def work(batches):
-        rarity = shared.value
-        for batch in slices(batches, 256):
-            rare, sets, sizes = [], [], []
-            for said in batch.column(0).to_pylist():
-                own, name = _shingle_set(said, width)
-                n = len(own)
-                if not n:
-                    continue
-                # Any order that is the same for all texts is right; rare ones first is fast.
-                order = np.lexsort((own, rarity[(own % np.uint64(SLOTS)).astype(np.int64)]))
-                first = own[order[:n + 1 + -n * similarity // 100]]
-                rare.append(first)
-                sets.append(np.full(len(first), name, np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
-            if rare:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.concatenate(sets)),
-                     pa.array(np.concatenate(sizes))], ["shingle", "shingles", "n"])
-
-    return df.select(F.col(text).cast("binary").alias("text")).mapInArrow(
-        work, "shingle bigint, shingles bigint, n bigint")
-
-
-def _marks(rows: DataFrame) -> np.ndarray:
-    """A table of fixed size that has a one for every value of ``row``, and for few others."""
-    def packed(group: pa.Table) -> pa.Table:
-        bits = np.zeros(MARKS // 1024, np.uint8)
-        bits[group.column("at").to_numpy()] = 1
-        return pa.table({"block": group.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    place = F.pmod(F.col("row"), F.lit(MARKS))
-    split = rows.select((place % 1024).alias("block"), F.floor(place / 1024).alias("at")).distinct()
-    out = np.zeros((MARKS // 1024, 1024), bool)
-    for r in split.groupBy("block").applyInArrow(packed, "block bigint, bits binary").collect():
-        out[:, r["block"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return out.reshape(-1)
-
-
-def _overlapping(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Of the pairs (a, b) of shingle sets, those whose similarity (shared shingles by all
-    shingles of both) is high enough, counted exactly. ``texts`` has (row, text), ``members``
-    a row of each set. Texts are not shuffled: only sets that are asked for leave their task.
-    """
-    pairs = stored(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("shingles")).union(pairs.select("b")).distinct()
-    wanted = stored(members.join(asked, "shingles"), "asked")
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_marks(wanted)))
-
-    def work(batches):
-        marks = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            near = batch.filter(pa.array(marks[rows % MARKS]))
-            for part in slices([near], 256):
-                made = [_shingle_set(said, width) for said in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name for _, name in made], pa.int64()),
-                     pa.array([own.view(np.int64) for own, _ in made], pa.list_(pa.int64()))], ["name", "own"])
-
-    found = texts.mapInArrow(work, "name bigint, own array<bigint>")
-    found = found.join(wanted.select(F.col("shingles").alias("name")), "name", "left_semi").dropDuplicates(["name"])
-    own = stored(found, "shingle-sets")
-    left, right = own.toDF("a", "x"), own.toDF("b", "y")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(
-        100 * both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def _similar(
-    texts: DataFrame, members: DataFrame, known: DataFrame, prefixes: DataFrame, width: int, similarity: int
-) -> DataFrame:
-    """Links (a, b) that, with the ``known`` ones, connect all shingle sets of at least the
-    similarity. Runs jobs.
-
-    Two such sets share a shingle of their prefixes. First each set meets only the least set
-    of each of its shingles; then sets meet that share a shingle and are not yet connected,
-    so that a crowd of near copies never meets in all pairs.
-    """
-    entries = stored(prefixes.distinct(), "prefixes")
-    least = entries.groupBy("shingle").agg(
-        F.min("shingles").alias("low"), F.max("shingles").alias("high"),
-        F.min_by("n", "shingles").alias("low_n")).where("low < high")
-    shared = stored(entries.join(least.select("shingle", "low", "low_n"), "shingle"), "shared")
-    alike = 100 * F.least("n", "low_n") >= similarity * F.greatest("n", "low_n")
-    first = shared.where((F.col("shingles") != F.col("low")) & alike).select(F.col("low").alias("a"), F.col("shingles").alias("b")).distinct()
-    links = stored(_overlapping(texts, members, first, width, similarity).union(known), "first-links")
-    parts = components(links)
-    placed = shared.join(parts, shared["shingles"] == parts["node"], "left").select(
-        "shingle", "shingles", "n", F.coalesce("root", "shingles").alias("root"))
-    apart = placed.groupBy("shingle").agg(
-        F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("shingle")
-    left = stored(placed.join(apart, "shingle", "left_semi"), "apart")
-    other = left.toDF("shingle", "b", "m", "o_root")
-    fits = (100 * F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.col("root") != F.col("o_root"))
-    met = left.join(other, "shingle").where((F.col("shingles") < F.col("b")) & fits).select(
-        F.col("shingles").alias("a"), "b").distinct()
-    fresh = met.join(first, ["a", "b"], "left_anti")
-    return links.union(_overlapping(texts, members, fresh, width, similarity))
-
-
 def keep_one(
-    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4,
-    similarity: int | None = None,
+    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4
 ) -> DataFrame:
-    """One row for each group of near copies, all its columns: that of the smallest key, of
-    equal keys that of the smallest text hash.
+    """One row for each group of linked fingerprints, all its columns: that of the smallest
+    key, of equal keys that of the smallest text hash.
 
     Rows are chosen, not keys: a key that stands at texts of several groups stays in each
-    where it is the smallest. Rows without a key link nothing and stay. With a
-    ``similarity`` in percent, texts are linked also where their sets of word shingles have
-    at least that Jaccard similarity, however many bits of the fingerprints differ.
+    where it is the smallest. Rows without a key link nothing and stay; an empty table gives
+    an empty one; long texts are fingerprinted whole.
     """
     row = unused(df, "_row_hash")
     marked = df.withColumn(row, row_hash(df))
     keyed = marked.where(F.col(key).isNotNull())
     one = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("said"), F.col(row).alias("row"))
     texts = keyed.select(one.alias("one"), F.col(text).alias("text"))
-    if similarity is None:
-        prints = stored(fingerprints(texts, "one", "text", width), "fingerprints")
-        prints = prints.withColumn("shingles", F.col("fingerprint"))
-    else:
-        described = stored(_described(texts, "one", "text", width), "fingerprints")
-        prints = described.where("block IS NULL").drop("block", "counts")
-    classes = stored(
-        prints.groupBy("fingerprint", "shingles").agg(F.min("key").alias("first")), "classes")
-    if similarity is None:
-        links = near_links(classes.select("fingerprint"), distance)
-    else:
-        # Sets are the nodes: of a fingerprint's sets the least stands for it.
-        stands = stored(classes.groupBy("fingerprint").agg(F.min("shingles").alias("node")), "nodes")
-        near = near_links(stands.select("fingerprint"), distance)
-        named = lambda c: stands.select(F.col("fingerprint").alias(c), F.col("node").alias(f"{c}_node"))
-        near = near.join(named("a"), "a").join(named("b"), "b").select(
-            F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-        same = classes.join(stands, "fingerprint").where("node <> shingles").select("node", "shingles")
-        known = stored(near.union(same), "near-links")
-        members = classes.groupBy("shingles").agg(F.min("first.row").alias("row"))
-        said = keyed.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text"))
-        prefixes = _prefixes(texts, "text", width, similarity, _slot_counts(described))
-        links = _similar(said, members, known, prefixes, width, similarity)
-    parts = components(links)
-    rooted = classes.join(parts, classes["shingles"] == parts["node"], "left").select(
-        "first", F.coalesce("root", "shingles").alias("root"))
+    prints = stored(fingerprints(texts, "one", "text", width), "fingerprints")
+    classes = stored(prints.groupBy("fingerprint").agg(F.min("key").alias("first")), "classes")
+    parts = components(near_links(classes.select("fingerprint"), distance))
+    rooted = classes.join(parts, classes["fingerprint"] == parts["node"], "left").select(
+        "first", F.coalesce("root", "fingerprint").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.id").alias(key), F.col("first.row").alias(row))
     # Rows that are equal in all columns are one.
