@@ -7,7 +7,7 @@ and read again as the next one's docs.
 * quality: documents the positive-unlabelled classifier rejects go (learned from labels of
   the training fold and the texts at hand);
 * near_duplicates: one document of each group of near copies stays, that of the smallest id;
-  copies share 0.8 of their five-word shingles (counted exactly) or differ in at most 4 bits;
+  fingerprints of four-word shingles link at 4 or fewer differing bits;
 * secrets: what the forest takes for a secret is masked in the text, n_chars follows;
 * mixture: each document as often as the target weights of the sources ask for;
 * tokens: the byte-level BPE ids of each text, and whether decoding them gives it back.
@@ -31,7 +31,7 @@ def good_quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    return simhash.keep_one(docs, "doc_id", "text", width=5, distance=4, similarity=80)
+    return simhash.keep_one(docs, "doc_id", "text", width=4, distance=4)
 
 
 def without_secrets(spark, docs, sf_dir):
