@@ -113,7 +113,7 @@ def test_negatives(spark, monkeypatch, tile):
 
 
 def test_negatives_with_large_numbers(spark):
-    rows = [(100 * i, [3.0e6 + i, -2.0e6 * i], i % 2) for i in range(1, 9)]
+    rows = [(100 * i, [3.0e5 + i, -6.0e4 * i], i % 2) for i in range(1, 9)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
     whole = [(i, l, [math.floor(256 * c) for c in x]) for i, x, l in rows]
     mined = lambda f: negatives.mine(negatives.prepare(f, "vec_id", "embedding", F.col("label")), F.col("id") % 100 == 0)
