@@ -12,9 +12,10 @@ stretches of the schedule, and a source's stretch of the unit interval by equal
 source with a third of all words is spread like any other.
 
 Nulls and edge cases: a null or empty text has size 0 and nothing is taken of it; a null
-source is a source of its own, the last; documents with equal keys are placed by their size;
-equal rows are interchangeable; an empty table gives an empty one; a source without words
-has target 0; other columns pass through ``mix``.
+source is a source of its own, the last; a null key is a key like others, and documents with
+equal keys are placed by their texts; equal rows are interchangeable and told apart by a
+number; a very long text spans many blocks; an empty table gives an empty one; a source
+without words has target 0; other columns pass through ``mix`` and are ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..operators.frames import null_safe_join
 from .common import SPACE, row_hash, stored, unused
 
-GOLDEN = (5 ** 0.5 - 1) / 2
+GOLDEN = 0x9E3779B97F4A7C15  # the golden ratio's fraction, in parts of 2^64, odd
 STRETCH = 4096   # slots ranked together
 CELLS = 1024     # equal cells of the unit interval
 SHARE = 20_000   # rows of a source summed together, about
@@ -78,8 +79,7 @@ def _offsets(sized: DataFrame) -> DataFrame:
     """Where each document of a source begins when they lie end to end in hash order."""
     total = sized.count()
     parts = max(1, -(-total // SHARE))
-    # Rows without a key are spread by their place instead.
-    hashed = F.xxhash64(F.coalesce(F.col("order").cast("string"), F.col("row").cast("string")), "size")
+    hashed = F.col("order")
     # The hash as a fraction of the unit interval, cut into equal parts in the same order.
     spread = ((hashed / F.lit(float(1 << 63))) + 1.0) / 2.0
     rows = sized.where("size > 0").withColumn("h", hashed).withColumn(
@@ -87,7 +87,7 @@ def _offsets(sized: DataFrame) -> DataFrame:
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "part").orderBy("h", "order", "size", "row").rowsBetween(
+    inside = Window.partitionBy("source", "part").orderBy("h", "size", "row").rowsBetween(
         Window.unboundedPreceding, -1)
     local = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return null_safe_join(local, bases, ["source", "part"]).select(
@@ -116,8 +116,11 @@ def schedule(planned: DataFrame, most: int = 3) -> DataFrame:
     cells = max(CELLS, count // STRETCH)
     cell = lambda x: F.least(F.greatest(F.floor(x * cells), F.lit(0)), F.lit(cells - 1))
     spread = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to")))))
-    point = (F.col("id") + 0.5) * F.lit(GOLDEN)
-    slots = spark.range(count).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("x"))
+    # Whole numbers modulo 2^64: neighbours stay apart however many slots there are.
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    point = (F.col("id").cast("decimal(17,0)") * number(GOLDEN) + number(GOLDEN // 2)) % number(1 << 64)
+    slots = spark.range(count).select(
+        F.col("id").alias("slot"), (point.cast("double") / F.lit(2.0 ** 64)).alias("x"))
     slots = slots.withColumn("cell", cell(F.col("x")))
     # Neighbouring spans share their border, so each point falls into one of them; the
     # first begins at zero and the rounding of the last border is left open.
@@ -144,14 +147,35 @@ def plan(
     A block has ``block`` words, or fewer where a source would have under ``least`` blocks.
     Runs jobs; the texts are read once.
     """
-    sized = stored(df.select(
-        F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
-        size_of(text).alias("size"), F.col(key).alias("order"),
-        F.monotonically_increasing_id().alias("row")), "sizes")
-    return _taken(sized, weights, most, block, least).select(
+    marked = df.select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
+        F.col(source).cast("string").alias("source"), size_of(text).alias("size"),
+        row_hash(df.select(key, text, source)).alias("h"))
+    return _taken(_ordered(marked), weights, most, block, least).select(
         F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken")
 
 
+def _ordered(marked: DataFrame) -> DataFrame:
+    """Rows (row, key, source, size, h) with ``order``, a hash that is the same wherever the
+    rows stand: of h, and of a number that tells rows of one h apart.
+
+    The numbers come in two levels, by the partitions the rows stand in, then inside.
+    """
+    hashed = stored(marked.withColumn("part", F.shiftright("row", 33)), "hashes")
+    before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
+    repeated = counts.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h")
+    bases = counts.join(repeated, "h", "left_semi").select(
+        "h", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("h", "part").orderBy("row")
+    numbers = hashed.select("row", "h", "part").join(bases, ["h", "part"]).select(
+        "row", (F.col("base") + F.row_number().over(inside) - 1).cast("bigint").alias("number"))
+    ordered = hashed.join(numbers, "row", "left").select(
+        "row", "key", "source", "size",
+        F.xxhash64("h", F.coalesce("number", F.lit(0).cast("bigint"))).alias("order"))
+    return stored(ordered, "sizes")
+
+
 def _taken(sized: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 64, least: int = 256) -> DataFrame:
     """The plan of written rows (key, source, size, order, row), shuffled by ``order``."""
     goal = targets(sized, weights, most)
@@ -184,23 +208,9 @@ def mix(df: DataFrame, key: str, text: str, source: str, **settings) -> DataFram
     """
     mark = unused(df, "_mix_row")
     marked = stored(df.withColumn(mark, F.monotonically_increasing_id()), "to-mix")
-    hashed = marked.select(
-        F.col(mark).alias("key"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"),
-        row_hash(df).alias("_h"), F.shiftright(F.col(mark), 33).alias("_part"))
-    hashed = stored(hashed, "hashes")
-    # Equal rows are numbered in two levels: by the partitions they stand in, then inside.
-    before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = hashed.groupBy("_h", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = counts.groupBy("_h").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_h")
-    bases = counts.join(repeated, "_h", "left_semi").select(
-        "_h", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_h", "_part").orderBy("key")
-    numbers = hashed.select("key", "_h", "_part").join(bases, ["_h", "_part"]).select(
-        "key", (F.col("_base") + F.row_number().over(inside) - 1).alias("_number"))
-    ordered = hashed.join(numbers, "key", "left").select(
-        "key", "source", "size", F.xxhash64("_h", F.coalesce("_number", F.lit(0)).cast("bigint")).alias("order"),
-        F.col("key").alias("row"))
-    planned = _taken(stored(ordered, "sizes"), **settings)
+    planned = _taken(_ordered(marked.select(
+        F.col(mark).alias("row"), F.col(mark).alias("key"), F.col(source).cast("string").alias("source"),
+        size_of(text).alias("size"), row_hash(df).alias("h"))), **settings)
     copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     times = unused(df, "_mix_copies")
     chosen = planned.select(F.col("key").alias("_r"), copies.alias(times)).where(F.col(times) > 0)

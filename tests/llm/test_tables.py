@@ -3,7 +3,6 @@
 import random
 import re
 from collections import Counter
-from math import floor
 
 import duckdb
 import numpy as np
@@ -317,6 +316,8 @@ def test_mixing(spark, odd, empty):
     check_mix(odd)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert check_mix(docs) == check_mix(docs.repartition(7))
+    lost = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).union(docs.where("doc_id < 40"))
+    assert check_mix(lost) == check_mix(lost.repartition(7)) == check_mix(lost.orderBy(F.desc("text")).coalesce(1))
     hot = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 50 == 1, None).otherwise(F.col("source")))
     check_mix(hot)
     assert mixing.plan(empty, "doc_id", "text", "source").count() == 0
@@ -339,8 +340,8 @@ def test_schedule_equals_brute_force(spark):
     borders = np.cumsum([0.0] + [p[2] / total for p in planned])
     ranks, want = Counter(), []
     for slot in range(int(total + 0.5)):
-        x = (slot + 0.5) * mixing.GOLDEN
-        source = int(np.searchsorted(borders, x - floor(x), side="right")) - 1
+        x = (slot * mixing.GOLDEN + mixing.GOLDEN // 2) % 2 ** 64 / 2 ** 64
+        source = int(np.searchsorted(borders, x, side="right")) - 1
         if ranks[source] < 3 * planned[source][1]:
             want.append((source, slot, ranks[source]))
         ranks[source] += 1
