@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import stored
 
 UNIT = 1_000_000_000
-ENTRIES = 200_000      # counts a task keeps before it sends them out
+ENTRIES = 400_000      # counts a task keeps before it sends them out
+DOCS = (1 << 24) - 1   # documents it counts at most before it does
 POSTINGS = 1_000_000   # postings of an index, about
 # Bytes of terms, A-Z as a-z; all others part terms. Bytes of 128 and more are terms' bytes.
 _FOLD = bytes(
@@ -56,30 +57,32 @@ def count_terms(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     Counts are combined in the task that reads the texts before they are shuffled.
     """
     def work(batches):
-        counts, docs, size = {}, {}, 0
+        counts, size, read = {}, 0, 0
 
         def drain():
             nonlocal size
-            rows = [(*group, term, n, docs[group][term]) for group, own in counts.items() for term, n in own.items()]
-            rows += [(*group, None, 0, 0) for group in counts]
-            counts.clear(), docs.clear()
-            size = 0
-            for first in range(0, len(rows), 50_000):
-                columns = zip(*rows[first:first + 50_000])
-                kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+            for (language, group), own in counts.items():
+                terms, both = [None, *own], np.array([0, *own.values()], np.int64)
+                names = (pa.array([name], pa.string()) for name in (language, group))
+                names = [n.take(pa.array(np.zeros(len(terms), np.int64))) for n in names]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "source", "term", "count", "docs"])
+                    [*names, pa.array(terms, pa.binary()), pa.array(both >> 24), pa.array(both & DOCS)],
+                    ["lang", "source", "term", "count", "docs"])
+            counts.clear()
+            size = 0
 
         for batch in batches:
             for language, group, said in zip(*(c.to_pylist() for c in batch.columns)):
-                own, seen = counts.setdefault((language, group), Counter()), docs.setdefault((language, group), Counter())
+                own = counts.setdefault((language, group), {})
                 before = len(own)
-                found = Counter(terms_of(said))
-                own.update(found)
-                seen.update(dict.fromkeys(found, 1))
+                # One number holds both: occurrences above, documents in the low 24 bits.
+                for term, n in Counter(terms_of(said)).items():
+                    own[term] = own.get(term, 0) + (n << 24) + 1
                 size += len(own) - before
-                if size > ENTRIES:
+                read += 1
+                if size > ENTRIES or read == DOCS:
                     yield from drain()
+                    read = 0
         yield from drain()
 
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
