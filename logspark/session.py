@@ -61,6 +61,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that nothing reads any more."""
+    if not path.startswith(shared_dir(spark).rstrip("/")):
+        raise ValueError("not in the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several later jobs read, by a reliable checkpoint."""
     shared_dir(df.sparkSession)

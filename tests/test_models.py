@@ -38,6 +38,45 @@ def test_forest_is_repeatable_and_finds_outliers(spark):
     assert leaves["path"].max() <= 9 + float(forest.average_path(256))
 
 
+def test_share_forests_grow_without_a_cap(spark, monkeypatch):
+    """Trees on a share of the rows: whole, repeatable (also from sparse rows), and different
+    shares differ."""
+    monkeypatch.setattr(forest, "GROUP_ROWS", 100)
+    monkeypatch.setattr(forest.levels, "BATCH_BYTES", 120_000)  # two batches of trees
+    rows, points = cloud(spark, n=600, copies=200)
+    sparse = rows.select("key", F.sequence(F.lit(0), F.lit(5)).alias("positions"), F.col("vector").alias("values"))
+    fit = lambda table, share: forest.isolation_forest_fit(table, "key", 6, trees=6, sample=share, contamination=None)
+    made, again, other = fit(rows, 0.8), fit(sparse, 0.8), fit(rows.where("key % 2 = 0"), 0.6)
+    assert made.sample == 480 and other.sample == 180
+    monkeypatch.setattr(forest.levels, "BATCH_BYTES", 20_000)  # several passes
+    assert len(forest._batches(made, 6)) > 1
+    made = forest._with_offset(made, rows, "key", 0.05)
+    order = ["tree", "node"]
+    nodes = made.nodes.toPandas().sort_values(order).reset_index(drop=True)
+    assert nodes.equals(again.nodes.toPandas().sort_values(order).reset_index(drop=True))
+    assert len(nodes) > 1.5 * other.nodes.count()
+    scored = forest.isolation_forest_score(rows, "key", made).toPandas()
+    assert set(scored.nsmallest(5, "score")["key"]) == set(range(5))
+    assert scored[scored["key"] >= 400]["score"].nunique() == 1  # copies are one leaf
+    assert abs(scored["flagged"].sum() - 0.05 * len(scored)) <= 1
+    for tree, table in nodes.groupby("tree"):
+        table = table.set_index("node")
+        assert sorted(table.index) == list(range(len(table)))
+        inner = table[table["feature"] >= 0]
+        assert sorted([*inner["left"], *inner["right"], 0]) == list(range(len(table)))
+        # Every row's way ends in a leaf, and the path lengths give the score.
+        at = np.zeros(len(points), int)
+        for _ in range(9):
+            here = table.loc[at]
+            split = (here["feature"] >= 0).to_numpy()
+            go_left = points[np.arange(len(points)), np.maximum(here["feature"], 0)] <= here["threshold"].to_numpy()
+            at = np.where(split, np.where(go_left, here["left"], here["right"]), at)
+        assert (table.loc[at, "feature"] < 0).all()
+        want = table.loc[at, "path"].to_numpy() if tree == 0 else want + table.loc[at, "path"].to_numpy()
+    score = -np.power(2.0, -(want / 6) / float(forest.average_path(480))) - made.offset
+    assert np.allclose(scored.sort_values("key")["score"], score)
+
+
 def test_sparse_and_dense_rows_score_alike(spark):
     rows, _ = cloud(spark)
     made = forest.isolation_forest_fit(rows, "key", 6, trees=20)
