@@ -17,6 +17,8 @@ from ..session import materialize
 from .frames import settle
 
 MAX_BROADCAST_TERMS = 100_000
+ROWS = 1024  # texts counted or weighed together
+FAN = 32     # triangles stacked together
 
 
 def english_stop_words() -> list[str]:
@@ -43,9 +45,97 @@ def terms_of(words: Column, ngrams=(1, 2)) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _term_rows(df: DataFrame, key: str, text: str, ngrams, stop_words) -> DataFrame:
-    worded = settle(df.select(key, words_of(F.col(text), stop_words).alias("_words")))
-    return worded.select(key, F.explode(terms_of(F.col("_words"), ngrams)).alias("term"))
+def _worded(df: DataFrame, columns, text: str, stop_words) -> DataFrame:
+    """The columns and the words of each text, found once."""
+    return settle(df.select(*columns, words_of(F.col(text), stop_words).alias("_words")))
+
+
+def _in_rows(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch one after the other, and the row of each."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _counts(lists: pa.ListArray, ngrams) -> pa.RecordBatch:
+    """(term, corpus_count, doc_count) of the texts of a batch."""
+    flat, rows = _in_rows(lists)
+    coded = flat.dictionary_encode()
+    code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    low, high = ngrams
+    parts = []
+    for length in range(low, high + 1):
+        ids, row = code, rows
+        if length == 2:
+            beside = rows[1:] == rows[:-1]
+            ids, row = (code[:-1] * len(words) + code[1:])[beside], rows[1:][beside]
+        terms, at, often = np.unique(ids, return_inverse=True, return_counts=True)
+        # A term counts once for each text it stands in.
+        texts = np.bincount(np.unique(at * len(lists) + row) // max(len(lists), 1), minlength=len(terms))
+        if length == 1:
+            names = words.take(pa.array(terms))
+        else:
+            first, second = np.divmod(terms, max(len(words), 1))
+            names = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), " ")
+        parts.append((names.cast(pa.string()), often, texts))
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([p[0] for p in parts]), *[pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in (1, 2)]],
+        ["term", "corpus_count", "doc_count"])
+
+
+class Weigher:
+    """A vocabulary ready to weigh batches of words: words and pairs are numbers."""
+
+    def __init__(self, known: pd.DataFrame, ngrams, sublinear: bool):
+        known = known.sort_values("term_index")
+        self.terms = known["term"].tolist()
+        self.index = known["term_index"].to_numpy(dtype=np.int64)
+        self.idf = known["idf"].to_numpy(dtype=float)
+        self.ngrams, self.sublinear = ngrams, sublinear
+        split = [term.split(" ") for term in self.terms]
+        self.words = sorted({word for words in split for word in words})
+        number = {word: i for i, word in enumerate(self.words)}
+        self.single = np.full(len(self.words), -1)
+        pairs = []
+        for place, words in enumerate(split):
+            if len(words) == 1:
+                self.single[number[words[0]]] = place
+            else:
+                pairs.append((number[words[0]] * len(self.words) + number[words[1]], place))
+        self.pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+
+    def weigh(self, lists: pa.ListArray):
+        """(row, place in the vocabulary, weight), sorted, rows of unit length."""
+        flat, rows = _in_rows(lists)
+        code = pc.fill_null(pc.index_in(flat, value_set=pa.array(self.words, flat.type)), -1).to_numpy(
+            zero_copy_only=False).astype(np.int64)
+        low, high = self.ngrams
+        row, at = [], []
+        if low == 1 and len(self.words):
+            place = np.where(code >= 0, self.single[code], -1)
+            row.append(rows[place >= 0])
+            at.append(place[place >= 0])
+        if high == 2 and len(self.pairs):
+            both = (rows[1:] == rows[:-1]) & (code[1:] >= 0) & (code[:-1] >= 0)
+            pair, beside = (code[:-1] * len(self.words) + code[1:])[both], rows[1:][both]
+            near = np.minimum(np.searchsorted(self.pairs[:, 0], pair), len(self.pairs) - 1)
+            hit = self.pairs[near, 0] == pair
+            row.append(beside[hit])
+            at.append(self.pairs[near[hit], 1])
+        size = max(len(self.terms), 1)
+        both = np.concatenate(row) * size + np.concatenate(at) if row else np.zeros(0, np.int64)
+        found, tf = np.unique(both, return_counts=True)
+        row, at = np.divmod(found, size)
+        weight = (np.log(tf) + 1 if self.sublinear else tf) * self.idf[at]
+        norm = np.sqrt(np.bincount(row, weight * weight, len(lists)))
+        return row, at, weight / norm[row]
+
+
+def weigher(vocabulary: DataFrame, max_features: int, ngrams=(1, 2), sublinear: bool = True) -> Weigher:
+    """The vocabulary, read now; more than ``max_features`` terms are an error."""
+    known = vocabulary.select("term", "term_index", "idf").limit(max_features + 1).toPandas()
+    if len(known) > max_features:
+        raise ValueError(f"more than {max_features} terms; raise max_features")
+    return Weigher(known, ngrams, sublinear)
 
 
 def tfidf_fit(
@@ -55,19 +145,21 @@ def tfidf_fit(
     """The vocabulary: term, term_index, corpus count, document count and idf.
 
     Keeps the ``max_features`` most frequent terms among those in at least ``min_df``
-    documents and at most the share ``max_df`` of them; ties by term. A row is a document:
-    its terms are counted in the row, so texts never move, only combined counts per term.
+    documents and at most the share ``max_df`` of them; ties by term. A row is a document.
+    Terms are counted batch by batch where the texts are; only counts per term move.
     """
     stop_words = english_stop_words() if stop_words is None else list(stop_words)
     total = df.agg(F.count(F.lit(1)))
-    worded = settle(df.select(words_of(F.col(text), stop_words).alias("_words")))
-    ordered = settle(worded.select(F.array_sort(terms_of(F.col("_words"), ngrams)).alias("_terms")))
-    # Equal terms stand side by side; the first of them counts for the document.
-    marked = ordered.select(F.inline(F.transform("_terms", lambda term, i: F.struct(
-        term.alias("term"),
-        F.coalesce(term != F.get(F.col("_terms"), i - 1), F.lit(True)).alias("_first")))))
-    counted = marked.groupBy("term").agg(
-        F.count(F.lit(1)).alias("corpus_count"), F.count_if("_first").alias("doc_count")
+
+    def count(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                yield _counts(batch.column(0).slice(first, ROWS), ngrams)
+
+    counted = _worded(df, [], text, stop_words).mapInArrow(
+        count, "term string, corpus_count bigint, doc_count bigint")
+    counted = counted.groupBy("term").agg(
+        F.sum("corpus_count").alias("corpus_count"), F.sum("doc_count").alias("doc_count")
     ).withColumn("_n", total.scalar())
     kept = counted.where(
         (F.col("doc_count") >= min_df) & (F.col("doc_count") <= F.col("_n") * F.lit(max_df))
@@ -83,22 +175,15 @@ def tfidf_transform(
     df: DataFrame, vocabulary: DataFrame, key: str, text: str, ngrams=(1, 2),
     stop_words=None, sublinear: bool = True, max_features: int = 5000,
 ) -> DataFrame:
-    """Unit-length TF-IDF weights; a text without known terms has no rows.
+    """Unit-length TF-IDF weights, rows (key, term, term_index, weight).
 
-    ``max_features`` is the bound the vocabulary was fitted with; up to 100,000 terms it
-    is broadcast, so unknown terms go before the shuffle.
+    A row is a document; a text without known terms has no rows. The weights are made where
+    the text is, without a shuffle; the vocabulary, of at most ``max_features`` terms, is
+    read when this is called.
     """
-    stop_words = english_stop_words() if stop_words is None else list(stop_words)
-    small = vocabulary.select("term", "term_index", "idf")
-    if max_features <= MAX_BROADCAST_TERMS:
-        small = F.broadcast(small)
-    placed = df.select(key, text).repartition(key)
-    known = _term_rows(placed, key, text, ngrams, stop_words).join(small, "term")
-    counts = known.groupBy(key, "term", "term_index", "idf").agg(F.count(F.lit(1)).alias("_tf"))
-    tf = F.log("_tf") + 1 if sublinear else F.col("_tf")
-    raw = counts.withColumn("_w", tf * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "term_index", (F.col("_w") / norm).alias("weight"))
+    made = _vectors(df, vocabulary, key, text, ngrams, stop_words, sublinear, max_features, True)
+    zipped = F.arrays_zip("term", "term_index", "weight")
+    return made.toDF(key, "term_index", "weight", "term").select(key, F.inline(zipped).alias("term", "term_index", "weight"))
 
 
 def tfidf_vectors(
@@ -111,39 +196,33 @@ def tfidf_vectors(
     more than ``max_features`` terms are an error. A text without known terms has empty
     arrays. Reads the vocabulary when called.
     """
+    return _vectors(df, vocabulary, key, text, ngrams, stop_words, sublinear, max_features, False)
+
+
+def _vectors(df, vocabulary, key, text, ngrams, stop_words, sublinear, max_features, named: bool) -> DataFrame:
+    """(key, positions, values) and, if ``named``, the terms."""
     stop_words = english_stop_words() if stop_words is None else list(stop_words)
-    known = vocabulary.select("term", "term_index", "idf").limit(max_features + 1).toPandas()
-    if len(known) > max_features:
-        raise ValueError(f"more than {max_features} terms; raise max_features")
-    known = known.sort_values("term_index")
-    shared = df.sparkSession.sparkContext.broadcast((
-        known["term"].tolist(), known["term_index"].to_numpy(dtype=np.int64),
-        known["idf"].to_numpy(dtype=float)))
+    shared = df.sparkSession.sparkContext.broadcast(weigher(vocabulary, max_features, ngrams, sublinear))
 
     def weigh(batches):
-        terms, index, idf = shared.value
-        for batch in batches:
-            lists, count = batch.column(1), batch.num_rows
-            flat = lists.flatten()
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            found = pc.fill_null(pc.index_in(flat, value_set=pa.array(terms, flat.type)), -1).to_numpy()
-            rows = np.repeat(np.arange(count), sizes)[found >= 0]
-            places, tf = np.unique(
-                rows * max(len(terms), 1) + found[found >= 0], return_counts=True)
-            row, at = np.divmod(places, max(len(terms), 1))
-            weight = (np.log(tf) + 1 if sublinear else tf) * idf[at]
-            norm = np.sqrt(np.bincount(row, weight * weight, count))
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=count))), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.ListArray.from_arrays(ends, pa.array(index[at], pa.int32())),
-                pa.ListArray.from_arrays(ends, pa.array(weight / norm[row], pa.float64())),
-            ], [key, "positions", "values"])
-
-    worded = settle(df.select(key, words_of(F.col(text), stop_words).alias("_words")))
+        known = shared.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                row, at, weight = known.weigh(batch.column(1))
+                count = np.bincount(row, minlength=batch.num_rows)
+                ends = pa.array(np.append(0, np.cumsum(count)), pa.int32())
+                columns = [pa.array(known.index[at], pa.int32()), pa.array(weight, pa.float64())]
+                if named:
+                    columns.append(pa.array(known.terms, pa.string()).take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.ListArray.from_arrays(ends, c) for c in columns]],
+                    [key, "positions", "values", *(["terms"] if named else [])])
+
     kind = df.schema[key].dataType.simpleString()
-    return worded.select(key, terms_of(F.col("_words"), ngrams).alias("_terms")).mapInArrow(
-        weigh, f"`{key}` {kind}, positions array<int>, values array<double>")
+    schema = f"`{key}` {kind}, positions array<int>, values array<double>"
+    return _worded(df, [key], text, stop_words).mapInArrow(
+        weigh, schema + (", terms array<string>" if named else ""))
 
 
 def top_terms(weights: DataFrame, documents: DataFrame, k: int = 20) -> DataFrame:
@@ -163,11 +242,31 @@ def sparse_vectors(weights: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _blocks(batch: pd.DataFrame):
+    """A batch of sparse rows as dense blocks (first, end, positions, block), the columns
+    those that occur; a block has about 8,192 weights and 256 rows at most, a longer row is one by itself."""
+    sizes = batch["positions"].map(len).to_numpy()
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(batch):
+        start = ends[first] - sizes[first]
+        end = max(first + 1, int(np.searchsorted(ends, start + 8192, side="right")))
+        end = min(end, first + 256)
+        part = batch.iloc[first:end]
+        at = np.concatenate(part["positions"].to_numpy()).astype(np.int64)
+        used, place = np.unique(at, return_inverse=True)
+        block = np.zeros((end - first, len(used)))
+        block[np.repeat(np.arange(end - first), sizes[first:end]), place] = np.concatenate(part["values"].to_numpy())
+        yield first, end, used, block
+        first = end
+
+
 def _gram_times(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
     """X'X times a thin basis, X being the weight matrix. One Spark job.
 
-    A task adds up its rows; the sums per term are added by groups of terms. What moves
-    and what comes back is bounded by vocabulary size times basis width.
+    A task multiplies blocks of its rows, two matrix products a block, and adds them up; the
+    sums per term are added by groups of terms. What moves and what comes back is bounded by
+    vocabulary size times basis width.
     """
     size, width = basis.shape
     shared = vectors.sparkSession.sparkContext.broadcast(basis)
@@ -175,10 +274,9 @@ def _gram_times(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
     def partial(batches):
         sums, seen = np.zeros((size, width)), np.zeros(size, dtype=bool)
         for batch in batches:
-            for positions, values in zip(batch["positions"], batch["values"]):
-                at, x = np.asarray(positions, dtype=int), np.asarray(values)
-                sums[at] += np.outer(x, x @ shared.value[at])
-                seen[at] = True
+            for _, _, used, block in _blocks(batch):
+                sums[used] += block.T @ (block @ shared.value[used])
+                seen[used] = True
         terms = np.flatnonzero(seen)
         yield pd.DataFrame({"term_index": terms, "part": list(sums[terms])})
 
@@ -200,25 +298,65 @@ def _gram_times(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
     return result
 
 
+def _triangle(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of X times the basis, a tall and thin matrix.
+
+    Every task keeps only the triangle of the rows it has seen; triangles are stacked and
+    decomposed again, ``FAN`` at a time, until few are left. The Gram matrix, which squares
+    the spread of the singular values, is never made.
+    """
+    width = basis.shape[1]
+    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+    schema = "part bigint, rows array<double>"
+
+    def partial(batches):
+        held = np.zeros((0, width))
+        for batch in batches:
+            for _, _, used, block in _blocks(batch):
+                held = np.vstack([held, block @ shared.value[used]])
+                if len(held) >= 4 * width:
+                    held = np.linalg.qr(held, mode="r")
+        yield pd.DataFrame({"part": [0], "rows": [np.linalg.qr(held, mode="r").ravel()]})
+
+    def stack(group: pd.DataFrame) -> pd.DataFrame:
+        whole = np.vstack([r.reshape(-1, width) for r in group["rows"]])
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "rows": [np.linalg.qr(whole, mode="r").ravel()]})
+
+    left = materialize(vectors.select("positions", "values").mapInPandas(partial, schema).withColumn(
+        "part", F.spark_partition_id().cast("bigint")))
+    number = left.count()
+    while number > FAN:
+        left = left.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(stack, schema)
+        left = materialize(left)
+        fewer = left.count()
+        if fewer == number:
+            break
+        number = fewer
+    found = [np.asarray(r["rows"]).reshape(-1, width) for r in left.orderBy("part").collect()]
+    shared.unpersist()
+    return np.linalg.qr(np.vstack(found), mode="r") if found else np.zeros((0, width))
+
+
 def svd_components(
     vectors: DataFrame, size: int, k: int, passes: int = 5, seed: int = 42
 ) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (``size`` x ``k``) and singular values of the weight matrix.
 
-    Randomised subspace iteration: ``passes`` + 1 jobs over the rows, each multiplying the
-    Gram matrix with a basis a little wider than ``k``.
+    Randomised subspace iteration: ``passes`` jobs over the rows, each multiplying the Gram
+    matrix with a basis a little wider than ``k``, and one for the triangle whose singular
+    values are those of the rows.
     """
     width = min(k + 10, size)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))
     for _ in range(passes):
         basis, _ = np.linalg.qr(_gram_times(vectors, basis))
-    small = basis.T @ _gram_times(vectors, basis)
-    values, turned = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(values)[::-1][:k]
-    components = basis @ turned[:, best]
+    _, found, turned = np.linalg.svd(_triangle(vectors, basis), full_matrices=True)
+    values = np.zeros(width)
+    values[:len(found)] = found
+    components = basis @ turned[:k].T
     # The largest entry of a component is positive, so that signs do not depend on chance.
-    signs = np.sign(components[np.abs(components).argmax(axis=0), np.arange(len(best))])
-    return components * np.where(signs == 0, 1, signs), np.sqrt(np.maximum(values[best], 0))
+    signs = np.sign(components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])])
+    return components * np.where(signs == 0, 1, signs), values[:k]
 
 
 def project(vectors: DataFrame, key: str, components: np.ndarray) -> DataFrame:
@@ -229,11 +367,10 @@ def project(vectors: DataFrame, key: str, components: np.ndarray) -> DataFrame:
     def coordinates(batches):
         matrix = shared.value
         for batch in batches:
-            made = [
-                np.asarray(values) @ matrix[np.asarray(positions, dtype=int)]
-                for positions, values in zip(batch["positions"], batch["values"])
-            ]
-            yield pd.DataFrame({key: batch[key], "features": made})
+            made = np.zeros((len(batch), matrix.shape[1]))
+            for first, end, used, block in _blocks(batch):
+                made[first:end] = block @ matrix[used]
+            yield pd.DataFrame({key: batch[key], "features": list(made)})
 
     return vectors.mapInPandas(coordinates, f"{key} {kind}, features array<double>")
 

@@ -127,6 +127,24 @@ def test_svd_reconstructs(spark):
     assert np.allclose(matrix @ components @ components.T, matrix)
 
 
+def test_singular_values_of_a_wide_spread(spark):
+    """To 1e-6 of the largest exact value each, over seven orders of size, in sparse rows."""
+    chance = np.random.default_rng(3)
+    left, right = np.linalg.qr(chance.normal(size=(300, 12)))[0], np.linalg.qr(chance.normal(size=(40, 12)))[0]
+    matrix = left * np.logspace(0, -7, 12) @ right.T
+    matrix[::7] = 0  # texts without terms
+    rows = spark.createDataFrame(
+        [(i, [j for j in range(40) if r[j]], [float(x) for x in r if x]) for i, r in enumerate(matrix)],
+        "key bigint, positions array<int>, values array<double>").repartition(7)
+    components, values = tfidf.svd_components(rows, 40, 12)
+    want = np.linalg.svd(matrix)[1][:12]
+    assert np.allclose(values, want, rtol=1e-6)
+    got = {r["key"]: r["features"] for r in tfidf.project(rows, "key", components).collect()}
+    assert np.allclose([got[i] for i in range(300)], matrix @ components)
+    none, zero = tfidf.svd_components(rows.limit(0), 40, 3)
+    assert none.shape == (40, 3) and not zero.any()
+
+
 def test_one_class_prefers_the_crowd(spark):
     rows, _ = cloud(spark)
     model = oneclass.one_class_fit(rows, "key", "vector", nus=(0.1,), gammas=("scale",), kernels=("rbf",))
