@@ -57,3 +57,12 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines: line_no bigint, ts timestamp_ntz, host string, line string."""
     events = table(spark, sf_dir, "events").drop("props")
     return as_log_lines(spread(events))
+
+
+def spread(scan):
+    """A scan whose files make fewer tasks than the session shuffles into, dealt out evenly.
+
+    Files of one row group are one task, however much work their rows make.
+    """
+    width = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return scan.repartition(width) if scan.rdd.getNumPartitions() < width else scan

@@ -106,7 +106,7 @@ def save_load_model(spark, sf_dir):
     """Scores of a saved and loaded model against those of the fitted one."""
     docs = materialize(table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("key"), "text"))
-    model = scoring.fit_text_model(docs, "key", "text", max_features=500, trees_count=50)
+    model = scoring.fit_text_model(docs, "key", "text")
     path = scratch_path(spark, "model")
     model.save(path)
     loaded = scoring.TextModel.load(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import tfidf
 from . import query, sqlparts as D
-from .inputs import table
+from .inputs import spread, table
 
 
 _STOP = ", ".join(D.q(word) for word in P.ENGLISH_STOP_WORDS)
@@ -41,7 +41,7 @@ _SUB = _weights("1 + ln(tf)")
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def fitted(spark, sf_dir):
@@ -88,9 +88,9 @@ def top_terms(spark, sf_dir):
 @query("svd_features")
 def svd_features(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    vocabulary = tfidf.tfidf_fit(docs, "doc_id", "text", max_features=1000, min_df=2)
-    weights = tfidf.tfidf_transform(docs, vocabulary, "doc_id", "text", max_features=1000)
-    made = tfidf.svd_features(weights, "doc_id", 1000, k=20)
+    vocabulary = tfidf.tfidf_fit(docs, "doc_id", "text", max_features=10_000, min_df=2)
+    vectors = tfidf.tfidf_vectors(docs, vocabulary, "doc_id", "text", max_features=10_000)
+    made = tfidf.svd_features(vectors, "doc_id", 10_000, k=300)
     return made.select("doc_id", F.posexplode("features").alias("dim", "value"))
 
 

@@ -17,7 +17,7 @@ from ..session import materialize
 from .frames import settle
 
 MAX_BROADCAST_TERMS = 100_000
-ROWS = 1024  # texts counted or weighed together
+WORDS = 250_000  # words counted or weighed together, about
 FAN = 32     # triangles stacked together
 
 
@@ -56,6 +56,17 @@ def _in_rows(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
 
 
+def _parts(batch: pa.RecordBatch, column: int):
+    """A batch cut where about ``WORDS`` words are together; a longer text is a part by itself."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes), 0
+    while first < batch.num_rows:
+        end = int(np.searchsorted(ends, ends[first] - sizes[first] + WORDS, side="right"))
+        end = max(first + 1, end)
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def _counts(lists: pa.ListArray, ngrams) -> pa.RecordBatch:
     """(term, corpus_count, doc_count) of the texts of a batch."""
     flat, rows = _in_rows(lists)
@@ -153,8 +164,8 @@ def tfidf_fit(
 
     def count(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                yield _counts(batch.column(0).slice(first, ROWS), ngrams)
+            for part in _parts(batch, 0):
+                yield _counts(part.column(0), ngrams)
 
     counted = _worded(df, [], text, stop_words).mapInArrow(
         count, "term string, corpus_count bigint, doc_count bigint")
@@ -207,8 +218,7 @@ def _vectors(df, vocabulary, key, text, ngrams, stop_words, sublinear, max_featu
     def weigh(batches):
         known = shared.value
         for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(first, ROWS)
+            for batch in _parts(whole, 1):
                 row, at, weight = known.weigh(batch.column(1))
                 count = np.bincount(row, minlength=batch.num_rows)
                 ends = pa.array(np.append(0, np.cumsum(count)), pa.int32())
@@ -395,9 +405,9 @@ def standardize(
     return df.withColumn("_stats", ordered.scalar()).withColumn(name or vector, scaled).drop("_stats")
 
 
-def svd_features(weights: DataFrame, key: str, size: int, k: int = 300) -> DataFrame:
-    """Truncated SVD coordinates of TF-IDF weights, standardised. Runs the SVD jobs."""
-    vectors = materialize(sparse_vectors(weights, key))
+def svd_features(vectors: DataFrame, key: str, size: int, k: int = 300) -> DataFrame:
+    """Truncated SVD coordinates of ``tfidf_vectors``, standardised. Runs the SVD jobs."""
+    vectors = materialize(vectors)
     components, _ = svd_components(vectors, size, min(k, size))
     return standardize(materialize(project(vectors, key, components)), "features")
 

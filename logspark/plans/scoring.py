@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.confidence import ml_confidence
 from ..functions.text import clean_message, message_text
 from ..operators import forest as trees, parse, prepare, rules, tfidf
+from ..operators.frames import settle
 from ..session import materialize
 from ..sources import stores
 
+REMEMBERED = 100_000  # texts a task remembers the scores of, about
+
 
 @dataclass
 class TextModel:
@@ -51,20 +57,51 @@ def fit_text_model(
 def score_texts(df: DataFrame, text: str, model: TextModel | None, key: str) -> DataFrame:
     """Add ``ml_prediction`` and ``confidence``; Normal at 0.5 without a model.
 
-    Equal texts are scored once: logs repeat themselves.
+    Scored in the row, in one pass over the input: nothing is joined or shuffled, whatever
+    text is frequent. A task remembers the texts it has scored, so equal ones are scored
+    once there: logs repeat themselves.
     """
     if model is None:
         return df.withColumns({"ml_prediction": F.lit("Normal"), "confidence": F.lit(0.5)})
-    hashed = df.withColumn("_text_key", F.md5(text))
-    different = hashed.groupBy("_text_key").agg(F.first(text).alias("_text"))
-    vectors = text_vectors(different, "_text_key", "_text", model.vocabulary, model.max_features)
-    scored = trees.isolation_forest_score(vectors, "_text_key", model.forest)
-    verdicts = different.join(scored, "_text_key").select(
-        "_text_key",
-        *[c.alias(n) for n, c in ml_confidence(
-            F.col("score"), F.col("flagged"), F.col("empty"), F.col("_text")).items()],
-    )
-    return hashed.join(verdicts, "_text_key", "left").drop("_text_key")
+    kept = df.columns
+    worded = settle(df.select(
+        *kept, F.col(text).cast("string").alias("_text"),
+        tfidf.words_of(F.col(text), tfidf.english_stop_words()).alias("_words")))
+    known = tfidf.weigher(model.vocabulary, model.max_features)
+    scorer = trees.RowScorer(model.forest)
+    shared = df.sparkSession.sparkContext.broadcast((known, scorer))
+
+    def score(batches):
+        known, scorer = shared.value
+        memory: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(len(kept)).dictionary_encode()
+            texts = coded.dictionary.to_pylist() + [None]
+            at = pc.fill_null(coded.indices, len(texts) - 1).to_numpy(zero_copy_only=False)
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            fresh = [i for i in np.unique(at) if texts[i] not in memory]
+            if fresh:
+                first = np.full(len(texts), -1)
+                first[at[::-1]] = np.arange(len(at))[::-1]
+                words = batch.column(len(kept) + 1).take(pa.array(first[fresh]))
+                row, place, weight = known.weigh(words)
+                made = scorer.score(row, known.index[place], weight, len(fresh))
+                empty = np.bincount(row, minlength=len(fresh)) == 0
+                memory.update(zip([texts[i] for i in fresh], zip(made.tolist(), empty.tolist())))
+            found = [memory[texts[i]] for i in at]
+            score, empty = zip(*found)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(kept)], pa.array(score, pa.float64()), pa.array(empty, pa.bool_())],
+                [*kept, "_score", "_empty"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_empty", T.BooleanType())])
+    scored = worded.mapInArrow(score, schema)
+    verdicts = ml_confidence(F.col("_score"), F.col("_score") < 0, F.col("_empty"), F.col(text))
+    there = F.col(text).isNotNull()  # no verdict without a text
+    return scored.select(*kept, *[F.when(there, c).alias(n) for n, c in verdicts.items()])
 
 
 def ingest(

@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from logspark.functions.confidence import ml_confidence
 from logspark.operators import forest, grid, neighbours, oneclass, sequence, tfidf
+from logspark.plans import scoring
 from logspark.session import scratch_path
 
 
@@ -174,6 +176,25 @@ def test_sequence_models_on_a_small_log(spark):
     assert made["is_anomaly"].iloc[-1] == 1
 
 
+def test_verdicts_in_the_row_equal_scored_vectors(spark, monkeypatch):
+    """Equal texts, texts without known terms, nulls, and a memory that is cleared."""
+    said = ["disk error on node seven", "login failed for root", "user root logged in", "fatal disk failure", "", "the of", None, "zebra"]
+    texts = spark.createDataFrame([(i, said[i % len(said)], "x") for i in range(200)], "id bigint, text string, other string")
+    model = scoring.fit_text_model(texts.where("text IS NOT NULL"), "id", "text", 50, 20)
+    vectors = scoring.text_vectors(texts, "id", "text", model.vocabulary, 50)
+    want = {r["id"]: r for r in forest.isolation_forest_score(vectors, "id", model.forest).join(texts, "id").select(
+        "id", *[c.alias(n) for n, c in ml_confidence(F.col("score"), F.col("flagged"), F.col("empty"), F.col("text")).items()]).collect()}
+    for most in (100_000, 2):
+        monkeypatch.setattr(scoring, "REMEMBERED", most)
+        got = scoring.score_texts(texts.repartition(3), "text", model, "id")
+        assert got.columns == ["id", "text", "other", "ml_prediction", "confidence"]
+        assert "Join" not in got._jdf.queryExecution().toString()
+        for r in got.collect():
+            verdict = (r["ml_prediction"], r["confidence"])
+            assert verdict == ((None, None) if r["text"] is None else (want[r["id"]]["ml_prediction"], want[r["id"]]["confidence"]))
+    assert scoring.score_texts(texts.limit(0), "text", model, "id").count() == 0
+
+
 def test_text_vectors_in_the_row_equal_the_weights_table(spark):
     texts = spark.createDataFrame(
         [(1, "Disk error on node seven, disk error"), (2, "login failed for root"), (3, None),
