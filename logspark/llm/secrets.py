@@ -1,17 +1,21 @@
 """Secret scans: a random forest removes the false positives, in DataFrame functions.
 
-Candidates are runs of at least twelve characters of tokens, keys and passwords with a digit
-in them, found by one regular expression. Each is described by its length, character
+Candidates are found by one regular expression: whole values after a word such as password
+or token and ``=`` or ``:`` (quoted, or to the next white space or the next ``name=``),
+whatever they are made of; runs of at least twelve characters of tokens with a digit; and
+digit-free runs of at least twenty letters. Each is described by its length, character
 transitions, how much of it dictionary words cover, whether it looks like a path or a known
 harmless form, and the words beside it. A random forest, trained from labelled findings,
 decides which candidates are secrets. Its trees become one Column expression, so a text is
 scanned, judged and redacted in its own row: nothing is exploded, joined or shuffled, and a
-text with many candidates weighs only on its own row.
+text with many candidates weighs only on its own row. The text is put together again from
+its pieces, so a secret is masked at the place where it was judged, in one pass.
 
 Nulls and edge cases: a null text stays null and has no candidates; an empty text has none;
-texts of any length are scanned whole; a secret that occurs several times is redacted at each
-place; equal rows get equal results; extra columns pass through, result columns replace
-columns of the same name.
+an empty table gives an empty one; texts of any length are scanned whole; a value that occurs
+several times is judged at each place by the words beside it there; equal rows get equal
+results; extra columns pass through, result columns replace columns of the same name. A
+single lower-case word after a password word is taken for prose, not for a password.
 """
 
 from __future__ import annotations
@@ -26,16 +30,25 @@ from ..operators.frames import settle
 from .common import SPACE, stored
 
 CHARS = r"A-Za-z0-9_+/=.~\-"
-# A run that has a digit and is at least twelve long, not inside another run.
-CANDIDATE = rf"(?<![{CHARS}])(?=[A-Za-z_+/=.~\-]*+[0-9])[{CHARS}]{{12,}}"
-BEFORE = rf"(\S*{SPACE}+\S*{SPACE}*)$"
 MASK = "[SECRET]"
 
 # Words that stand beside secrets, and beside what only looks like one.
 HOT_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key",
-             "access_key", "private_key", "credential", "credentials", "bearer", "authorization", "auth")
+             "access_key", "private_key", "credential", "credentials", "bearer", "authorization", "auth",
+             "passphrase")
 COLD_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "revision", "uuid",
               "guid", "id", "build", "version", "isbn", "phone", "card", "order", "serial", "etag")
+_KEY = "[A-Za-z0-9_./\\-]"
+# A name that ends in a hot word, then = or : and what may stand before the value.
+ASSIGNED = (rf"{_KEY}{{0,40}}?(?i:{'|'.join(HOT_WORDS)})[\"']?[ \t]*[=:][ \t]*"
+            r"(?:(?i:bearer|basic|token)[ \t]+)?")
+_STOP = r"[&,;](?![A-Za-z_]\w*[\"']?[=:])"  # not before the next name
+VALUE = rf"(?:\"[^\"\n]++\"|'[^'\n]++'|[^\s&,;]++(?:{_STOP}[^\s&,;]*+)*+)"
+# A run that has a digit and is at least twelve long, not inside another run.
+RUN = rf"(?<![{CHARS}])(?=[A-Za-z_+/=.~\-]*+[0-9])[{CHARS}]{{12,}}"
+LETTERS = rf"(?<![{CHARS}])[A-Za-z][A-Za-z+_\-]{{19,}}+(?![{CHARS}])"
+CANDIDATE = rf"(?<!{_KEY}){ASSIGNED}{VALUE}|{RUN}|{LETTERS}"
+_END = r"\"',;.)\]}>"
 # Words that make up names, paths and placeholders.
 DICTIONARY = ("example sample test dummy placeholder changeme change your here none null true false "
               "file path user name home local data image images version release index main master "
@@ -54,7 +67,8 @@ def _share(value: Column, pattern: str) -> Column:
 
 FEATURES = (
     "length", "transitions", "distinct", "digits", "upper", "lower", "hex", "coverage",
-    "path", "formed", "hot", "cold", "assigned", "quoted", "prefixed", "placeholder",
+    "path", "formed", "hot", "cold", "assigned", "quoted", "prefixed", "placeholder", "special",
+    "clusters",
 )
 
 
@@ -86,12 +100,19 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "prefixed": flag(value.rlike(
             r"^(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|eyJ|SG\.|npm_|hf_)")),
+        "special": _share(value, f"[^{CHARS}]+"),
+        "clusters": _share(F.lower(value), "[bcdfghjklmnpqrstvwxz]{4,}"),
         "placeholder": flag(value.rlike(r"(?i)x{6,}|0{8,}|1234567|abcdef|example|your[_-]|changeme")),
     }
 
 
+SYLLABLES = ("ba", "co", "di", "fu", "ga", "he", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "ver", "ung",
+             "ent", "mar", "tel", "ster", "hor", "bat", "rec", "sta", "ple", "gen", "lich", "tion")
+
 # Labelled findings: (before, value, after, is a secret). {h}, {H}, {b}, {d}, {u} and {w}
-# stand for hexadecimal, upper-case, mixed, decimal, UUID and word fillings.
+# stand for hexadecimal, upper-case, mixed, decimal, UUID and word fillings; {l}, {B} and {p}
+# for lower-case letters, mixed letters and passwords with signs, {s} and {S} for invented
+# words of so many syllables, lower-case or with a capital; {W} is a word with a capital.
 FINDINGS = (
     ('token = "', "{h40}", '"', 1), ("token=", "{h40}", " ", 1), ("password=", "{h18}", " ", 1),
     ("password=", "{h16}", "\n", 1), ("password: ", "{b16}", " ", 1), ("passwd=", "{h20}", " ", 1),
@@ -112,9 +133,25 @@ FINDINGS = (
     ('token = "', "xxxxxxxxxxxxxxxx{d2}", '"', 0), ("api_key=", "example_api_key_{d4}", " ", 0), ("secret: ", "changeme12345678", " ", 0),
     ("image ", "img-{d8}-{d4}.png", " ", 0), ("isbn ", "978-{d1}-{d4}-{d4}-{d1}", " ", 0), ("serial ", "{H4}-{H4}-{H4}-{d4}", " ", 0),
     ("-- ", "====={d2}=======", " ", 0), (" ", "{w}---{d4}---{w}", " ", 0), (" ", "1-2-3-4-5-6-7-8-9", " ", 0),
+    ("password=", "{s2}{s2}{s2}{s2}", " ", 1), ("password: ", "{w}{s2}{s2}{s2}", "\n", 1), ("passphrase: ", "{s2}-{s3}-{s2}-{s2}", " ", 1),
+    ('token = "', "{l32}", '"', 1), ('token = "', "{B32}", '"', 1), ("secret=", "{B20}", " ", 1), ("api_key: ", "{B40}", ",", 1),
+    ("Authorization: Bearer ", "{B40}", "\n", 1), ("Authorization: Bearer ", "{l36}", "\n", 1), ("with ", "{B40}", " ", 1),
+    ("the key ", "{B32}", ".", 1), ("auth: ", "{l24}", " ", 1), ("bearer ", "{B44}", " ", 1), ("passwd: ", "{l16}", " ", 1),
+    ("pwd: ", "{s3}{d1}{l1}", " ", 1), ("pwd=", "{s2}{d2}", "&", 1), ("password=", "{b8}", " ", 1), ("password: ", "{b10}", " ", 1),
+    ("secret=", "{l1}@{l4}{d5}", " ", 1), ("password=", "{p12}", " ", 1), ('password: "', "{p16}", '"', 1), ("pwd=", "{p9}", " ", 1),
+    ("password=", "{S2}{d1}{l3}&{d1}!{l3}", " ", 1), ("passwd=", "{S3}!{d4}", "\n", 1), ("password = '", "{S2}#{s2}{d2}", "'", 1),
+    ("credentials: ", "{p20}", " ", 1), ("secret: ", "{S3}${S2}", " ", 1), ("passwd: ", "{S2}{d3}", " ", 1),
+    ("password: ", "{w}", " ", 0), ("password: ", "{s3}", " ", 0), ("secret: ", "{s2}", ",", 0), ("token: ", "{s4}", " ", 0),
+    ("secret: ", "{S3}", " ", 0), ("credentials: ", "{S2}", ".", 0), ("password: ", "{s1}", " ", 0), ("auth: ", "{w}", "\n", 0),
+    ("tokens: ", "{d3}", " ", 0), ("token: ", "{d4}", ",", 0), ("auth=", "{d1}", " ", 0), ("token=", "{d2}", "&", 0),
+    ('password: "', "{w} {w} {w}", '"', 0), ('"token": "', "{s3} {s2}", '"', 0), ("password=", "<{w}>", " ", 0), ("secret=", "${{w}}", " ", 0),
+    ("password=", "********", " ", 0), ("token: ", "{w}({w})", " ", 0), ("password: ", "null", ",", 0), ("password=", "your-{w}-here", " ", 0),
+    (" ", "{s9}", " ", 0), ("the ", "{S10}", " ", 0), ("in ", "{S3}{S3}{S4}{S3}", "(", 0), (" ", "{s3}-{s3}-{s4}-{s3}", " ", 0),
+    ("call ", "{s2}{W}{W}{S2}{W}", "(", 0), ("", "{W}{W}{S3}{W}{S2}", " ", 0), ("new ", "{S2}{S2}{W}{S2}{W}", "(", 0), (" ", "{w}{S2}{S3}{W}{S3}", " ", 0),
+    ("call ", "{s3}_{s3}_{w}_{s3}", " ", 0), (" ", "{s4}-{s5}-{s3}", ".", 0), ("a ", "{S4}-{S5}-{s3}", " ", 0), (" ", "----------{s1}-----------", "\n", 0),
     ("by ", "{d2}-{w}-{w}-{w}", " ", 0), ("pages ", "{d4}-{d4}/{d4}", " ", 0), (" ", "{d20}", " ", 0), ("order ", "{H2}{d12}", " ", 0),
 )
-_PARTS = re.compile(r"\{([hHbduw])(\d*)\}")
+_PARTS = re.compile(r"\{([hHbduwWlBpsS])(\d*)\}")
 
 
 def _filled(template: str, salt: str) -> Column:
@@ -126,12 +163,22 @@ def _filled(template: str, salt: str) -> Column:
         seed = F.concat(F.lit(f"{salt}/{number}/"), F.col("n").cast("string"))
         hexed = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256))
         mixed = F.regexp_replace(F.base64(F.unhex(hexed)), "[+/=]", "")
+        one = lambda i: F.element_at(
+            F.array(*[F.lit(x) for x in SYLLABLES]), F.pmod(F.hash(seed, F.lit(i)), F.lit(len(SYLLABLES))) + 1)
+        if kind in "sS":
+            spoken = F.concat(*[one(i) for i in range(size)])
+            parts.append(F.initcap(spoken) if kind == "S" else spoken)
+            continue
         made = {
+            "l": F.translate(hexed, "0123456789", "ghjkmpqtwz"),
+            "B": F.regexp_replace(mixed, "[0-9]", ""),
+            "p": F.translate(mixed, "aeiouAEIOUxyz", "!@#$%&*?^!@#$"),
             "h": hexed, "H": F.upper(F.regexp_replace(mixed, "[a-z]", "7")), "b": mixed,
             "d": F.translate(hexed, "abcdef", "012345"),
             "u": F.concat_ws("-", *[F.substring(hexed, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
             "w": F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), F.pmod(F.hash(seed), F.lit(len(DICTIONARY))) + 1),
-        }[kind]
+        }
+        made = F.initcap(made["w"]) if kind == "W" else made[kind]
         parts.append(F.substring(made, 1, size) if size else made)
     parts.append(F.lit(template[at:]))
     return F.concat(*parts)
@@ -207,32 +254,50 @@ def scan(df: DataFrame, text: str, model, least: float = 0.5, mask: str = MASK)
         value.alias("value"),
         F.substring_index(F.substring(F.get("_around", i), -120, 120), "\n", -1).alias("before"),
         F.substring(F.get("_around", i + 1), 1, 8).alias("after")))
-    cut = settle(found.select("_row", "_text", pieces.alias("_pieces")))
-    # A key glued to its value (key=value) belongs to the words before.
-    glued = F.transform("_pieces", lambda p: F.struct(
-        F.regexp_replace(p["value"], r"^(?:[A-Za-z_.\-]{2,30}=)(?=.{8,})", "").alias("value"),
-        F.concat(p["before"], F.regexp_extract(p["value"], r"^([A-Za-z_.\-]{2,30}=)(?=.{8,})", 1)).alias("before"),
-        p["after"].alias("after")))
-    seen = settle(cut.select("_row", "_text", glued.alias("_pieces")))
+    cut = settle(found.select("_row", "_text", "_around", pieces.alias("_pieces")))
+    # A key before its value belongs to the words before; what closes it to those after.
+    lead = lambda v: F.regexp_extract(
+        v, rf"^({ASSIGNED}(?:[\"'](?=.))?|[A-Za-z_.\-]{{2,30}}=(?=.{{8,}}))", 1)
+    led = settle(cut.select("_row", "_text", F.col("_around"), F.transform("_pieces", lambda p: F.struct(
+        lead(p["value"]).alias("lead"), p["value"].alias("value"), p["before"].alias("before"),
+        p["after"].alias("after"))).alias("_pieces")))
+    rest = F.transform("_pieces", lambda p: F.struct(
+        p["lead"].alias("lead"), p["before"].alias("before"), p["after"].alias("after"),
+        F.substr(p["value"], F.length(p["lead"]) + 1).alias("rest")))
+    opened = settle(led.select("_row", "_text", "_around", rest.alias("_pieces")))
+
+    def closing(p):
+        quote = F.regexp_extract(p["lead"], "[\"']$", 0)
+        return F.when((quote != "") & p["rest"].endswith(quote), quote).otherwise(
+            F.regexp_extract(p["rest"], rf"(?<![{_END}])[{_END}]++$", 0))
+
+    closed = settle(opened.select("_row", "_text", "_around", F.transform("_pieces", lambda p: F.struct(
+        p["lead"].alias("lead"), p["before"].alias("before"), p["after"].alias("after"),
+        p["rest"].alias("rest"), closing(p).alias("tail"))).alias("_pieces")))
+    seen = settle(closed.select("_row", "_text", "_around", F.transform("_pieces", lambda p: F.struct(
+        F.substr(p["rest"], F.lit(1), F.length(p["rest"]) - F.length(p["tail"])).alias("value"),
+        F.concat(p["before"], p["lead"]).alias("before"), F.concat(p["tail"], p["after"]).alias("after"),
+        p["lead"].alias("lead"), p["tail"].alias("tail"))).alias("_pieces")))
 
     def described(p):
         made = features(p["value"], p["before"], p["after"])
-        return F.struct(p["value"].alias("value"), *[made[name].alias(name) for name in FEATURES])
-
-    known = settle(seen.select("_row", "_text", F.transform("_pieces", described).alias("_known")))
-    secret = F.transform(
-        F.filter("_known", lambda x: forest_score(model, lambda i: x[FEATURES[i]]) >= least),
-        lambda x: x["value"])
-    judged = settle(known.select(
-        "_row", "_text", F.coalesce(F.size("_known"), F.lit(0)).alias("n_candidates"),
-        F.coalesce(secret, F.array().cast("array<string>")).alias("secrets")))
-    # The longest first, so that no secret is cut by a shorter one inside it.
-    longest = F.array_sort(F.array_distinct("secrets"), lambda a, b: F.when(
-        F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    redacted = F.aggregate(longest, F.col("_text"), lambda t, s: F.replace(t, s, F.lit(mask)))
+        return F.struct(*[p[name].alias(name) for name in ("value", "lead", "tail")],
+                        *[made[name].alias(name) for name in FEATURES])
+
+    known = settle(seen.select("_row", "_text", "_around", F.transform("_pieces", described).alias("_known")))
+    verdict = lambda x: (x["value"] != "") & (
+        forest_score(model, lambda i: x[FEATURES[i]]) >= least)
+    judged = settle(known.select("_row", "_text", "_around", F.transform("_known", lambda x: F.struct(
+        *[x[name].alias(name) for name in ("value", "lead", "tail")], verdict(x).alias("secret"))).alias("_known")))
+    secret = F.transform(F.filter("_known", lambda x: x["secret"]), lambda x: x["value"])
+    redacted = F.concat(
+        F.array_join(F.transform("_known", lambda x, i: F.concat(
+            F.get("_around", i), x["lead"], F.when(x["secret"], F.lit(mask)).otherwise(x["value"]), x["tail"])), ""),
+        F.element_at("_around", -1))
     return judged.select(
-        "_row.*", F.greatest("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"), "secrets",
-        F.when(F.size("secrets") > 0, redacted).otherwise(F.col("_text")).alias("redacted"))
+        "_row.*", F.greatest(F.coalesce(F.size("_known"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_candidates"),
+        F.coalesce(secret, F.array().cast("array<string>")).alias("secrets"),
+        F.coalesce(redacted, F.col("_text")).alias("redacted"))
 
 
 def redact(df: DataFrame, text: str, model, size: str | None = None, **settings) -> DataFrame:
