@@ -151,53 +151,54 @@ FINDINGS = (
     ("call ", "{s3}_{s3}_{w}_{s3}", " ", 0), (" ", "{s4}-{s5}-{s3}", ".", 0), ("a ", "{S4}-{S5}-{s3}", " ", 0), (" ", "----------{s1}-----------", "\n", 0),
     ("by ", "{d2}-{w}-{w}-{w}", " ", 0), ("pages ", "{d4}-{d4}/{d4}", " ", 0), (" ", "{d20}", " ", 0), ("order ", "{H2}{d12}", " ", 0),
 )
-_PARTS = re.compile(r"\{([hHbduwWlBpsS])(\d*)\}")
+_FILLING = r"^\{([hHbduwWlBpsS])(\d*)\}$"
 
 
-def _filled(template: str, salt: str) -> Column:
-    """A template with fillings made from the column ``n``."""
-    parts, at = [], 0
-    for number, hit in enumerate(_PARTS.finditer(template)):
-        parts.append(F.lit(template[at:hit.start()]))
-        at, kind, size = hit.end(), hit.group(1), int(hit.group(2) or 0)
-        seed = F.concat(F.lit(f"{salt}/{number}/"), F.col("n").cast("string"))
-        hexed = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256))
+def _filled(template: Column, seed: Column) -> Column:
+    """A template whose fillings are made from the seed and their place."""
+    pick = lambda words, seed: F.element_at(
+        F.array(*[F.lit(w) for w in words]), F.pmod(F.hash(seed), F.lit(len(words))) + 1)
+
+    def fill(piece, place):
+        own = F.concat_ws("/", seed, place.cast("string"))
+        kind = F.regexp_extract(piece, _FILLING, 1)
+        size = F.coalesce(F.regexp_extract(piece, _FILLING, 2).try_cast("int"), F.lit(0))
+        hexed = F.concat(F.sha2(own, 256), F.sha2(F.concat(own, F.lit("+")), 256))
         mixed = F.regexp_replace(F.base64(F.unhex(hexed)), "[+/=]", "")
-        one = lambda i: F.element_at(
-            F.array(*[F.lit(x) for x in SYLLABLES]), F.pmod(F.hash(seed, F.lit(i)), F.lit(len(SYLLABLES))) + 1)
-        if kind in "sS":
-            spoken = F.concat(*[one(i) for i in range(size)])
-            parts.append(F.initcap(spoken) if kind == "S" else spoken)
-            continue
+        spoken = F.array_join(F.transform(
+            F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
+            lambda i: pick(SYLLABLES, F.concat_ws("/", own, i.cast("string")))), "")
+        word = pick(DICTIONARY, own)
+        cut = lambda c: F.when(size > 0, F.substr(c, F.lit(1), size)).otherwise(c)
         made = {
-            "l": F.translate(hexed, "0123456789", "ghjkmpqtwz"),
-            "B": F.regexp_replace(mixed, "[0-9]", ""),
-            "p": F.translate(mixed, "aeiouAEIOUxyz", "!@#$%&*?^!@#$"),
-            "h": hexed, "H": F.upper(F.regexp_replace(mixed, "[a-z]", "7")), "b": mixed,
-            "d": F.translate(hexed, "abcdef", "012345"),
+            "h": cut(hexed), "H": cut(F.upper(F.regexp_replace(mixed, "[a-z]", "7"))), "b": cut(mixed),
+            "d": cut(F.translate(hexed, "abcdef", "012345")),
+            "l": cut(F.translate(hexed, "0123456789", "ghjkmpqtwz")),
+            "B": cut(F.regexp_replace(mixed, "[0-9]", "")),
+            "p": cut(F.translate(mixed, "aeiouAEIOUxyz", "!@#$%&*?^!@#$")),
             "u": F.concat_ws("-", *[F.substring(hexed, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
-            "w": F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), F.pmod(F.hash(seed), F.lit(len(DICTIONARY))) + 1),
+            "w": word, "W": F.initcap(word), "s": spoken, "S": F.initcap(spoken),
         }
-        made = F.initcap(made["w"]) if kind == "W" else made[kind]
-        parts.append(F.substring(made, 1, size) if size else made)
-    parts.append(F.lit(template[at:]))
-    return F.concat(*parts)
+        chosen = piece
+        for name, value in made.items():
+            chosen = F.when(kind == name, value).otherwise(chosen)
+        return chosen
+
+    return F.array_join(F.transform(F.split(template, r"(?=\{)|(?<=\})"), fill), "")
 
 
 def labelled_findings(spark: SparkSession, each: int = 12) -> DataFrame:
     """Rows (before, value, after, label): ``each`` fillings of every labelled template.
     Runs a job that writes them."""
-    rows = spark.range(each, numPartitions=1).withColumnRenamed("id", "n")
-    made = [
-        rows.select(
-            _filled(before, f"{i}b").alias("before"), _filled(value, f"{i}v").alias("value"),
-            F.lit(after).alias("after"), F.lit(float(label)).alias("label"))
-        for i, (before, value, after, label) in enumerate(FINDINGS)
-    ]
-    whole = made[0]
-    for part in made[1:]:
-        whole = whole.union(part)
-    return stored(whole.coalesce(1), "findings")
+    templates = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(before).alias("b"), F.lit(value).alias("v"),
+                 F.lit(after).alias("after"), F.lit(float(label)).alias("label"))
+        for i, (before, value, after, label) in enumerate(FINDINGS)])
+    rows = spark.range(each, numPartitions=1).select("id", F.inline(templates))
+    seed = lambda part: F.concat_ws("/", F.lit(part), F.col("i").cast("string"), F.col("id").cast("string"))
+    return stored(rows.select(
+        _filled(F.col("b"), seed("before")).alias("before"), _filled(F.col("v"), seed("value")).alias("value"),
+        "after", "label"), "findings")
 
 
 def train(findings: DataFrame, trees: int = 25, depth: int = 8, seed: int = 42):
