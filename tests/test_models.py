@@ -154,6 +154,45 @@ def test_one_class_prefers_the_crowd(spark):
     assert set(got.nsmallest(5, "margin")["key"]) == set(range(5))
 
 
+def test_one_class_stops_by_its_gap_and_flags_nu(spark):
+    """Combinations converge, and rows that were not fitted are flagged at the rate nu."""
+    chance = np.random.default_rng(5)
+    points = np.concatenate([chance.normal(size=(24_000, 3)), chance.normal(size=(16_000, 3)) * 0.4 + 4])
+    chance.shuffle(points)
+    rows = spark.createDataFrame(
+        pd.DataFrame({"key": np.arange(len(points)), "vector": list(points)})).repartition(5).cache()
+    fitted = rows.where("key % 2 = 0")
+    model = oneclass.one_class_fit(fitted, "key", "vector", gammas=("scale", 0.1))
+    assert model.converged.all() and model.passes < 60 and (model.gap <= 1e-3).all()
+    got = oneclass.one_class_margins(rows.where("key % 2 = 1"), "key", "vector", model)
+    share = {r["model"]: r["share"] for r in got.groupBy("model").agg(F.avg("pred").alias("share")).collect()}
+    for name, _, _, nu in model.configs:
+        assert abs(share[name] - nu) <= 0.01, (name, share[name])
+    stopped = oneclass.one_class_fit(fitted, "key", "vector", nus=(0.1,), steps=2)
+    assert not stopped.converged.all() and stopped.passes == 2
+
+
+def test_one_class_reaches_the_least_objective(spark):
+    """Against a long subgradient descent on the same features."""
+    rows, _ = cloud(spark, n=300)
+    model = oneclass.one_class_fit(rows, "key", "vector", nus=(0.1,), gammas=("scale",), kernels=("rbf",), landmarks=20)
+    x = np.stack(rows.toPandas()["vector"].to_numpy()).astype(float)
+    phi = oneclass._features(x, model)[("rbf", "scale")]
+
+    def objective(w):
+        margins = np.sort(phi @ w)
+        level = margins[int(np.ceil(0.1 * len(x))) - 1]
+        return w @ w / 2 - level + np.maximum(0, level - margins).mean() / 0.1
+
+    w = phi.mean(0)
+    least = objective(w)
+    for step in range(20_000):
+        worst = np.argsort(phi @ w)[:int(np.ceil(0.1 * len(x)))]
+        w = w - (w - phi[worst].mean(0)) / (step + 2)
+        least = min(least, objective(w))
+    assert objective(model.weights[0]) <= least + 1e-3 * abs(least)
+
+
 def test_grid_shapes_and_rates(spark):
     rows, _ = cloud(spark, n=150)
     made = grid.model_grid(rows, "key", "vector", trees=(10, 20), ks=(5,), landmarks=16, steps=3)
