@@ -47,7 +47,9 @@ VALUE = rf"(?:\"[^\"\n]++\"|'[^'\n]++'|[^\s&,;]++(?:{_STOP}[^\s&,;]*+)*+)"
 # A run that has a digit and is at least twelve long, not inside another run.
 RUN = rf"(?<![{CHARS}])(?=[A-Za-z_+/=.~\-]*+[0-9])[{CHARS}]{{12,}}"
 LETTERS = rf"(?<![{CHARS}])[A-Za-z][A-Za-z+_\-]{{19,}}+(?![{CHARS}])"
-CANDIDATE = rf"(?<!{_KEY}){ASSIGNED}{VALUE}|{RUN}|{LETTERS}"
+# Most words are no such name: they fail at the first sign after them, before the hot words.
+NAMED = rf"(?<!{_KEY})(?={_KEY}++[\"']?[ \t]*[=:]){ASSIGNED}"
+CANDIDATE = rf"{NAMED}{VALUE}|{RUN}|{LETTERS}"
 _END = r"\"',;.)\]}>"
 # Words that make up names, paths and placeholders.
 DICTIONARY = ("example sample test dummy placeholder changeme change your here none null true false "
