@@ -9,9 +9,13 @@ hashes of place, role and text. Conversations with the same whole hash are one e
 they meet the prefixes, so copies of one conversation or of one first turn never meet in
 pairs; an anti-join on (length, hash) keeps the maximal ones.
 
-A conversation is cut into parts of ``PART`` turn numbers. A part is gathered in one row and
-rendered there; places and running sums cross parts in two levels, so a conversation with a
-third of all turns is spread over as many tasks as it has parts.
+A conversation is cut into parts of ``PART`` turn numbers; where more than ``PART`` rows share
+such a range (equal or null turn numbers), they are ranked by a ranged sort and cut again by
+rank. A part is gathered in one row and rendered there; places and running sums cross parts in
+two levels, so a conversation with a third of all turns is spread over as many tasks as it has
+parts, whatever its turn numbers are. The ranged sort deals rows out by turn, 64 characters of
+the role and 256 of the text, and sorts by the whole values: only texts of one conversation
+and turn number that all begin with the same 256 characters share a task, which spills.
 
 Nulls and edge cases: turns without a conversation id are left out; a null turn number comes
 first; turns with the same number follow each other by role and text; exact repeats of a
@@ -34,15 +38,33 @@ def _marked(column: str) -> Column:
 
 
 def parts_of(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Rows (conv, part, turns): the ordered turns of a part."""
+    """Rows (conv, part, turns): the ordered turns of a part, at most ``PART``; parts are
+    ordered structs (range of turn numbers, number inside it). Runs jobs that write tables."""
+    number = F.col(turn).cast("bigint")
     rows = df.where(F.col(conv).isNotNull()).select(
-        F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"),
-        F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(-(1 << 53)))
-    one = F.struct("turn", "role", "text")
-    return rows.groupBy("conv", part.alias("part")).agg(
-        F.array_sort(F.collect_set(one)).alias("turns")).select(
-        "conv", "part", F.sort_array("turns").alias("turns"))  # nulls first
+        F.col(conv).alias("conv"), F.coalesce(F.floor(number / PART), F.lit(-(1 << 53))).alias("span"),
+        number.alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    group = ["conv", "span"]
+    crowded = stored(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select(*group), "crowded")
+    calm = rows.join(crowded, group, "left_anti").withColumn("sub", F.lit(0).cast("bigint"))
+    many = _numbered(rows.join(crowded, group, "left_semi"), group)
+    return calm.unionByName(many).groupBy("conv", F.struct("span", "sub").alias("part")).agg(
+        F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))  # nulls first
+
+
+def _numbered(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The different rows with ``sub``, their rank by (turn, role, text) in the group over PART."""
+    ranges = [*group, "turn", F.substring("role", 1, 64), F.substring("text", 1, 256)]
+    placed = stored(
+        rows.distinct().repartitionByRange(*ranges).sortWithinPartitions(*group, "turn", "role", "text")
+        .withColumn("at", F.monotonically_increasing_id()), "ranked")
+    # A task's rows of a group follow each other; the id's upper bits number the task.
+    placed = placed.withColumn("task", F.shiftright("at", 33))
+    runs = placed.groupBy(*group, "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(*group, "task", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    ranked = placed.join(starts, [*group, "task"])
+    return ranked.withColumn("sub", F.floor((F.col("at") + F.col("shift")) / PART)).drop("task", "at", "shift")
 
 
 def prefix_hashes(parts: DataFrame) -> DataFrame:

@@ -234,6 +234,25 @@ def test_snapshots(spark):
     assert chat.collapse(frame.limit(0)).count() == 0
 
 
+def test_snapshots_with_one_turn_number(spark):
+    """More rows at one turn number, or at none, than a part holds; copies; a snapshot of them."""
+    said = [("user" if i % 3 else None, f"{'same start ' * 40}{i * 7919 % 9001:05d}") for i in range(9001)]
+    rows = [(1, 0, r, t) for r, t in said] + [(2, None, r, t) for r, t in said]
+    ordered = sorted(said, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    rows += [(3, None, r, t) for r, t in ordered[:4000]] + [(4, 7, *said[0])] * 3000
+    rows += [(2, 5000, "user", "end"), (5, 0, "user", None), (5, 1, "user", "x")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    parts = chat.parts_of(frame, "conv_id", "turn", "role", "text")
+    sizes = [r["n"] for r in parts.select(F.size("turns").alias("n")).collect()]
+    assert max(sizes) <= chat.PART and sum(sizes) == len(set(rows))
+    got = {}
+    for r in chat.collapse(frame).orderBy("conv_id", "part").collect():
+        n, c, text = got.get(r["conv_id"], (0, 0, ""))
+        got[r["conv_id"]] = (r["n_turns"], r["n_copies"], text + r["text"])
+    assert set(got) == {2, 5} | ({4} if ordered[0] != said[0] else set())
+    assert got == brute_chats(rows)
+
+
 def brute_numbers(text):
     text = text or ""
     words = WORD.findall(text)
