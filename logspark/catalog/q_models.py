@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.confidence import ml_confidence
 from ..operators import evaluate, forest, fuse, grid, neighbours, oneclass, tfidf
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources import models
 from . import query, sqlparts as D
 from .inputs import raw_logs, spread, table
 
@@ -134,6 +135,22 @@ def score_grid(spark, sf_dir):
     return grid.score_grid(rows, made, "vector")
 
 
+@query("save_load_grid", """SELECT family, models * (SELECT count(*) FROM embeddings)::BIGINT AS verdicts, models, true AS same
+FROM (VALUES ('IsolationForest', 27::BIGINT), ('LOF', 9::BIGINT), ('OneClassSVM', 24::BIGINT)) AS t(family, models)""")
+def save_load_grid(spark, sf_dir):
+    """Per family, whether a saved and loaded grid of 60 models gives the fitted one's verdicts."""
+    rows, made = _small_grid(spark, sf_dir)
+    path = scratch_path(spark, "grid")
+    models.save_grid(path, made)
+    first = grid.score_grid(rows, made, "vector")
+    second = grid.score_grid(rows, models.load_grid(spark, path), "vector").select(
+        "vec_id", "model", F.col("score").alias("_score"), F.col("pred").alias("_pred"))
+    same = (F.abs(F.col("score") - F.col("_score")) < 1e-9) & (F.col("pred") == F.col("_pred"))
+    return first.join(second, ["vec_id", "model"]).groupBy("family").agg(
+        F.count(F.lit(1)).alias("verdicts"), F.count_distinct("model").alias("models"),
+        F.min(same).alias("same"))
+
+
 @query("predict_grid")
 def predict_grid(spark, sf_dir):
     """Metrics per model, label 0 of the embeddings standing for the anomalies."""

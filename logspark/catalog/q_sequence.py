@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequence
+from ..session import scratch_path
+from ..sources import models
 from . import query
 from .inputs import table
 
@@ -121,17 +123,32 @@ fscore AS (SELECT event_id, CASE WHEN frun.k IS NULL THEN 0::DOUBLE WHEN seen IS
   ELSE 1 - seen / (SELECT count(k) FROM frun) END AS sequence_score FROM frun LEFT JOIN fpat ON fpat.k = frun.k)"""
 
 
-@query("sequence_ensemble", f"""WITH {_ENSEMBLE} SELECT f.event_id, round(sequence_score, 6) AS sequence_score, round(pattern_score, 6) AS pattern_score,
+_VERDICTS = f"""WITH {_ENSEMBLE} SELECT f.event_id, round(sequence_score, 6) AS sequence_score, round(pattern_score, 6) AS pattern_score,
   round(0.6::DOUBLE * sequence_score + 0.4::DOUBLE * pattern_score, 6) AS ensemble_score,
   CASE WHEN 0.6::DOUBLE * sequence_score + 0.4::DOUBLE * pattern_score > 0.7 THEN 1 ELSE 0 END AS is_anomaly
-FROM fscore f JOIN pscore p ON p.event_id = f.event_id""")
-def sequence_ensemble(spark, sf_dir):
-    made = sequence.sequence_ensemble(messages(spark, sf_dir), "event_id", "m", length=PL)
+FROM fscore f JOIN pscore p ON p.event_id = f.event_id"""
+
+
+def _verdicts(made):
     return made.select("event_id", *[
         F.round(c, 6).alias(c) for c in ("sequence_score", "pattern_score", "ensemble_score")
     ], "is_anomaly")
 
 
+@query("sequence_ensemble", _VERDICTS)
+def sequence_ensemble(spark, sf_dir):
+    return _verdicts(sequence.sequence_ensemble(messages(spark, sf_dir), "event_id", "m", length=PL))
+
+
+@query("save_load_sequence_scores", _VERDICTS)
+def save_load_sequence_scores(spark, sf_dir):
+    """The verdicts of saved and loaded sequence models."""
+    path = scratch_path(spark, "sequence_model")
+    models.save_sequence_model(path, sequence.sequence_model(messages(spark, sf_dir), "event_id", "m", length=PL))
+    loaded = models.load_sequence_model(spark, path)
+    return _verdicts(loaded.score(messages(spark, sf_dir), "event_id", "m"))
+
+
 @query("model_info", f"""WITH {_ENSEMBLE} SELECT (SELECT count(k) FROM frun) AS total_sequences, count(*) AS unique_sequences,
   min(seen) AS min_frequency, max(seen) AS max_frequency, round(avg(seen), 6) AS avg_frequency,
   round(count(*) / (SELECT count(k) FROM frun), 6) AS coverage, (SELECT count(*) FROM voc) AS vocab_size,

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import tfidf
+from ..session import materialize, scratch_path
+from ..sources import models, stores
 from . import query, sqlparts as D
 from .inputs import spread, table
 
@@ -116,13 +118,49 @@ def sentence_embedding(spark, sf_dir):
     return made.select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 
-@query("standardize", """
+_SCALED = """
 WITH long AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY 1)
 SELECT vec_id, CAST(long.dim AS INTEGER) AS dim, round((x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS value
-FROM long JOIN s ON s.dim = long.dim""")
+FROM long JOIN s ON s.dim = long.dim"""
+
+
+@query("standardize", _SCALED)
 def standardize(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     scaled = tfidf.standardize(vectors, "embedding")
     return scaled.select("vec_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
         "value", F.round("value", 6))
+
+
+@query("save_load_scaler", _SCALED)
+def save_load_scaler(spark, sf_dir):
+    """The vectors scaled by a saved and loaded scaler."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = scratch_path(spark, "scaler")
+    stores.save_tables(path, scaler=tfidf.scaler_fit(vectors, "embedding"))
+    scaled = tfidf.scale(vectors, "embedding", stores.load_table(spark, path, "scaler"))
+    return scaled.select("vec_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.round("value", 6))
+
+
+@query("save_load_svd", """SELECT count(*) AS texts, true AS same_components, true AS same_coordinates FROM documents""")
+def save_load_svd(spark, sf_dir):
+    """Scaled coordinates of all texts by a saved and loaded SVD against those by the fitted one."""
+    docs = documents(spark, sf_dir)
+    vocabulary = materialize(tfidf.tfidf_fit(docs, "doc_id", "text", max_features=10_000, min_df=2))
+    vectors = materialize(tfidf.tfidf_vectors(docs, vocabulary, "doc_id", "text", max_features=10_000))
+    components, values = tfidf.svd_components(vectors, 10_000, 300)
+    first = materialize(tfidf.project(vectors, "doc_id", components))
+    scaler = tfidf.scaler_fit(first, "features")
+    path = scratch_path(spark, "svd")
+    models.save_svd(spark, path, components, values, scaler)
+    loaded, found, kept = models.load_svd(spark, path)
+    second = tfidf.scale(tfidf.project(vectors, "doc_id", loaded), "features", kept)
+    joined = tfidf.scale(first, "features", kept).join(
+        second.select("doc_id", F.col("features").alias("_again")), "doc_id")
+    apart = F.exists(F.arrays_zip("features", "_again"), lambda z: F.abs(z["features"] - z["_again"]) > 1e-9)
+    same = bool((loaded == components).all() and (found == values).all())
+    return joined.agg(
+        F.count(F.lit(1)).alias("texts"), F.lit(same).alias("same_components"),
+        (~F.max(apart)).alias("same_coordinates"))

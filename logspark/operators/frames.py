@@ -205,14 +205,19 @@ def running_totals(
     )
 
 
-def ranked_counts(df: DataFrame, value: str, by=()) -> DataFrame:
+def ranked_counts(df: DataFrame, value: str, by=(), weight: str | None = None) -> DataFrame:
     """Distinct values with their count ``n``, the count up to them ``cum_n`` and ``_size``.
 
-    The value at 0-based rank r is the smallest one with cum_n > r.
+    The value at 0-based rank r is the smallest one with cum_n > r. A row counts as often as
+    its whole-number ``weight`` says; rows of weight 0 or null count not at all.
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    if weight is None:
+        counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        weighed = present.where(F.col(weight) > 0)
+        counts = weighed.groupBy(*by, value).agg(F.sum(F.col(weight).cast("bigint")).alias("n"))
     ranked = running_totals(counts, value, ["n"], by)
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
     if by:
@@ -220,8 +225,11 @@ def ranked_counts(df: DataFrame, value: str, by=()) -> DataFrame:
     return ranked.withColumn("_size", sizes.scalar())
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict, by=()) -> DataFrame:
-    """One row per ``by`` group with linearly interpolated quantiles, exactly.
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: dict, by=(), weight: str | None = None
+) -> DataFrame:
+    """One row per ``by`` group with linearly interpolated quantiles, exactly; a row with a
+    ``weight`` stands for so many equal ones.
 
     ``quantiles`` maps an output name to a fraction. Equal values are counted first, then
     ranked by running totals, so no task holds the values of a group.
@@ -238,7 +246,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict, by=()) -> DataFr
         ]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * F.col(f"_fr_{name}")).alias(name))
-    return ranked_counts(df, value, by).groupBy(*by).agg(*picks).select(*by, *out)
+    return ranked_counts(df, value, by, weight).groupBy(*by).agg(*picks).select(*by, *out)
 
 
 def hash_rank_filter(

@@ -6,6 +6,8 @@ length-prefixed messages, so shuffles carry a digest instead of the messages.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import frames
@@ -170,6 +172,44 @@ def pattern_score(rows: DataFrame, patterns: DataFrame, length: int = 10) -> Dat
     return joined.withColumn("pattern_score", score).drop("means", "deviations")
 
 
+@dataclass
+class SequenceModel:
+    """Both fitted models: repeated runs, the word index, and the patterns of word indices."""
+
+    runs: DataFrame
+    vocabulary: DataFrame
+    patterns: DataFrame
+    length: int = 10
+    weights: tuple = (0.6, 0.4)
+    threshold: float = 0.7
+
+    def score(self, df: DataFrame, order: str, message: str, by=(), numbered: bool = False) -> DataFrame:
+        """Both scores of each row, their blend and a flag."""
+        keyed = sequence_keys(df, order, message, by, self.length, numbered)
+        by_frequency = sequence_score(keyed, self.runs)
+        rows = pattern_rows(df, order, message, self.vocabulary, by, self.length, numbered=numbered)
+        by_pattern = pattern_score(rows, self.patterns, self.length)
+        both = by_frequency.select(*df.columns, "sequence_score").join(
+            by_pattern.select(order, "pattern_score"), order
+        )
+        blend = self.weights[0] * F.col("sequence_score") + self.weights[1] * F.col("pattern_score")
+        return both.withColumn("ensemble_score", blend).withColumn(
+            "is_anomaly", (F.col("ensemble_score") > self.threshold).cast("int")
+        )
+
+
+def sequence_model(
+    df: DataFrame, order: str, message: str, by=(), length: int = 10, weights=(0.6, 0.4),
+    threshold: float = 0.7, numbered: bool = False,
+) -> SequenceModel:
+    """Both models of a table, as lazy plans; save and load them to score other rows."""
+    keyed = sequence_keys(df, order, message, by, length, numbered)
+    vocabulary = build_vocabulary(df, message)
+    rows = pattern_rows(df, order, message, vocabulary, by, length, numbered=numbered)
+    return SequenceModel(
+        sequence_fit(keyed), vocabulary, pattern_fit(rows, length), length, tuple(weights), threshold)
+
+
 def sequence_ensemble(
     df: DataFrame, order: str, message: str, by=(), length: int = 10, weights=(0.6, 0.4),
     threshold: float = 0.7, numbered: bool = False, fit_on: DataFrame | None = None,
@@ -178,23 +218,9 @@ def sequence_ensemble(
 
     Both models are fitted on ``fit_on`` (the training part), else on the table itself.
     """
-    keyed = sequence_keys(df, order, message, by, length, numbered)
     learned = df if fit_on is None else fit_on
-    learned_keys = keyed if fit_on is None else sequence_keys(
-        learned, order, message, by, length, numbered)
-    by_frequency = sequence_score(keyed, sequence_fit(learned_keys))
-    vocabulary = build_vocabulary(learned, message)
-    rows = pattern_rows(df, order, message, vocabulary, by, length, numbered=numbered)
-    learned_rows = rows if fit_on is None else pattern_rows(
-        learned, order, message, vocabulary, by, length, numbered=numbered)
-    by_pattern = pattern_score(rows, pattern_fit(learned_rows, length), length)
-    both = by_frequency.select(*df.columns, "sequence_score").join(
-        by_pattern.select(order, "pattern_score"), order
-    )
-    blend = weights[0] * F.col("sequence_score") + weights[1] * F.col("pattern_score")
-    return both.withColumn("ensemble_score", blend).withColumn(
-        "is_anomaly", (F.col("ensemble_score") > threshold).cast("int")
-    )
+    model = sequence_model(learned, order, message, by, length, weights, threshold, numbered)
+    return model.score(df, order, message, by, numbered)
 
 
 def model_info(

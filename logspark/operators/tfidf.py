@@ -385,18 +385,15 @@ def project(vectors: DataFrame, key: str, components: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(coordinates, f"{key} {kind}, features array<double>")
 
 
-def standardize(
-    df: DataFrame, vector: str, name: str | None = None, fit_on: DataFrame | None = None
-) -> DataFrame:
-    """Each dimension minus its mean over its population deviation; constant ones give 0.
+def scaler_fit(df: DataFrame, vector: str) -> DataFrame:
+    """Rows (dim, mean, std): mean and population deviation of each dimension."""
+    long = df.select(F.posexplode(vector).alias("dim", "_x"))
+    return long.groupBy("dim").agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"))
 
-    Mean and deviation are those of ``fit_on`` (the training part), else of the table.
-    """
-    long = (df if fit_on is None else fit_on).select(F.posexplode(vector).alias("_dim", "_x"))
-    per_dim = long.groupBy("_dim").agg(
-        F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std")
-    )
-    ordered = per_dim.agg(F.sort_array(F.collect_list(F.struct("_dim", "mean", "std"))).alias("s"))
+
+def scale(df: DataFrame, vector: str, scaler: DataFrame, name: str | None = None) -> DataFrame:
+    """Each dimension minus its mean over its deviation; constant ones give 0."""
+    ordered = scaler.agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "std"))).alias("s"))
     scaled = F.zip_with(
         F.col(vector), F.col("_stats"),
         lambda x, s: (x.cast("double") - s["mean"])
@@ -405,6 +402,13 @@ def standardize(
     return df.withColumn("_stats", ordered.scalar()).withColumn(name or vector, scaled).drop("_stats")
 
 
+def standardize(
+    df: DataFrame, vector: str, name: str | None = None, fit_on: DataFrame | None = None
+) -> DataFrame:
+    """Scaled by mean and deviation of ``fit_on`` (the training part), else of the table."""
+    return scale(df, vector, scaler_fit(df if fit_on is None else fit_on, vector), name)
+
+
 def svd_features(vectors: DataFrame, key: str, size: int, k: int = 300) -> DataFrame:
     """Truncated SVD coordinates of ``tfidf_vectors``, standardised. Runs the SVD jobs."""
     vectors = materialize(vectors)

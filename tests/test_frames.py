@@ -51,6 +51,14 @@ def test_exact_quantiles(spark, gappy):
     assert np.allclose([got.a, got.b, got.c], want)
 
 
+def test_weighted_quantiles(spark):
+    """A weight counts as so many copies, also more than any task could hold."""
+    rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", 5.0, 4), ("a", 9.0, 0), ("a", 0.0, None), ("a", None, 2), ("b", 7.0, 10**12), ("b", 8.0, 1)]
+    frame = spark.createDataFrame(rows, "g string, x double, w bigint")
+    got = {r.g: (r.q, r.m) for r in frames.exact_quantiles(frame, "x", {"q": 0.3, "m": 0.9}, by=["g"], weight="w").collect()}
+    assert np.allclose(got["a"], np.quantile([1, 1, 1, 2, 5, 5, 5, 5], [0.3, 0.9])) and got["b"] == (7.0, 7.0)
+
+
 def test_no_single_partition_window_over_rows(gappy):
     plan = rules.request_frequency(gappy.select("at"), "at")._jdf.queryExecution().executedPlan().toString()
     # The only window without a partition key sums spans of blocks.

@@ -9,6 +9,7 @@ from logspark.functions.confidence import ml_confidence
 from logspark.operators import forest, grid, neighbours, oneclass, sequence, tfidf
 from logspark.plans import scoring
 from logspark.session import scratch_path
+from logspark.sources import models
 
 
 def cloud(spark, n=400, size=6, seed=0, copies=0):
@@ -203,6 +204,45 @@ def test_grid_shapes_and_rates(spark):
     for name, value in share.items():
         rate = float(name.split("cont_")[1].split("_")[0])
         assert abs(value - rate) <= 1.5 / 150
+    # Saved and loaded, over the first save: the same verdicts for rows it was not fitted on.
+    path = scratch_path(spark, "grid")
+    models.save_grid(path, made)
+    models.save_grid(path, made)
+    loaded = models.load_grid(spark, path)
+    assert list(loaded.forests) == list(made.forests) and list(loaded.references) == [5]
+    assert loaded.one_class.configs == made.one_class.configs
+    assert np.array_equal(loaded.one_class.converged, made.one_class.converged)
+    fresh, _ = cloud(spark, n=60, seed=3)
+    judged = [
+        grid.score_grid(fresh, m, "vector", trees=(10, 20)).orderBy("key", "model").toPandas() for m in (made, loaded)]
+    assert len(judged[0]) == 60 * 45
+    assert np.allclose(judged[0]["score"], judged[1]["score"], atol=1e-9) and judged[0]["pred"].equals(judged[1]["pred"])
+
+
+def test_saved_svd_and_scaler(spark):
+    rows = spark.createDataFrame(
+        [(i, [i % 7, 7 + i % 5], [1.0 + i % 3, 0.5 * (i % 4)]) for i in range(80)],
+        "id bigint, positions array<int>, values array<double>")
+    components, values = tfidf.svd_components(rows, 12, 4)
+    made = tfidf.project(rows, "id", components)
+    path = scratch_path(spark, "svd")
+    models.save_svd(spark, path, components, values, tfidf.scaler_fit(made, "features"))
+    loaded, found, scaler = models.load_svd(spark, path)
+    assert np.array_equal(loaded, components) and np.array_equal(found, values)
+    a = tfidf.standardize(made, "features").orderBy("id").toPandas()
+    b = tfidf.scale(tfidf.project(rows, "id", loaded), "features", scaler).orderBy("id").toPandas()
+    assert np.allclose(np.stack(a["features"]), np.stack(b["features"]), atol=1e-9)
+
+
+def test_saved_sequence_models_score_other_logs(spark):
+    learned = spark.createDataFrame(list(enumerate(["a x", "b y", "c z"] * 6)), "at bigint, m string")
+    other = spark.createDataFrame(list(enumerate(["a x", "b y", "c z", "a x", "new", None])), "at bigint, m string")
+    path = scratch_path(spark, "sequences")
+    models.save_sequence_model(path, sequence.sequence_model(learned, "at", "m", length=3))
+    loaded = models.load_sequence_model(spark, path)
+    got = [tuple(r) for r in loaded.score(other, "at", "m").orderBy("at").collect()]
+    want = [tuple(r) for r in sequence.sequence_ensemble(other, "at", "m", length=3, fit_on=learned).orderBy("at").collect()]
+    assert got == want and got[4][2] == 1.0 and got[2][2] < 1.0
 
 
 def test_sequence_models_on_a_small_log(spark):
