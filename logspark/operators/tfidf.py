@@ -275,10 +275,12 @@ def _gram_times(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
     """X'X times a thin basis, X being the weight matrix. One Spark job.
 
     A task multiplies blocks of its rows, two matrix products a block, and adds them up; the
-    sums per term are added by groups of terms. What moves and what comes back is bounded by
-    vocabulary size times basis width.
+    sums per term are added by groups of terms. There are no more tasks than cores, each
+    reading several partitions: what moves is at most a matrix of vocabulary size times basis
+    width per core, what comes back one such matrix, however many rows there are.
     """
     size, width = basis.shape
+    vectors = vectors.coalesce(vectors.sparkSession.sparkContext.defaultParallelism)
     shared = vectors.sparkSession.sparkContext.broadcast(basis)
 
     def partial(batches):

@@ -148,6 +148,27 @@ def test_singular_values_of_a_wide_spread(spark):
     assert none.shape == (40, 3) and not zero.any()
 
 
+def test_svd_moves_no_more_with_more_partitions(spark):
+    """A pass sends one part per core and term, not one per partition and term."""
+    rows = spark.createDataFrame(
+        [(i, [i % 7, 7 + i % 5], [1.0 + i % 3, 0.5 * (i % 4)]) for i in range(400)],
+        "id bigint, positions array<int>, values array<double>")
+    sent = []
+    basis = np.eye(12, 3)
+    original = type(rows).mapInPandas
+
+    def watched(frame, *args, **options):
+        made = original(frame, *args, **options)
+        sent.append(made.rdd.getNumPartitions())
+        return made
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "mapInPandas", watched)
+        few, many = (tfidf._gram_times(rows.repartition(n), basis) for n in (2, 50))
+    assert sent == [2, spark.sparkContext.defaultParallelism]
+    assert np.allclose(few, many)
+
+
 def test_one_class_prefers_the_crowd(spark):
     rows, _ = cloud(spark)
     model = oneclass.one_class_fit(rows, "key", "vector", nus=(0.1,), gammas=("scale",), kernels=("rbf",))
