@@ -104,6 +104,23 @@ def test_nearest_equals_brute_force(spark, pivots, chunk):
         assert abs(row["far"] - want[int(rep)]) < 1e-9
 
 
+def test_nearest_in_blocks_moves_no_vector_per_cell(spark, monkeypatch):
+    """Several blocks, a cell cut over some of them, keys that are null: as brute force; and the
+    plan has no join of queries with the cells they visit."""
+    rows, points = cloud(spark, n=300, copies=90)
+    rows = rows.withColumn("key", F.when(F.col("key") != 7, F.col("key")))
+    distinct = neighbours.distinct_points(rows, "key", "vector")
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8 * 6 * 25)
+    found = neighbours.nearest(distinct, distinct, 8, pivots=3, chunk=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan
+    got = found.groupBy("rep").agg(F.max("distance").alias("far"), F.sum("used").alias("n")).collect()
+    away = np.sort(np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)), axis=1)[:, 7]
+    far = {r["rep"]: r["far"] for r in got}
+    assert len(got) == 210 and all(r["n"] == 8 for r in got)
+    assert all(abs(far[rep] - away[7 if rep is None else rep]) < 1e-9 for rep in far)
+
+
 def test_lof_with_copies_equals_brute_force(spark):
     rows, points = cloud(spark, n=200, copies=6)
     distinct = neighbours.distinct_points(rows, "key", "vector")
