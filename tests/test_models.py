@@ -80,6 +80,31 @@ def test_share_forests_grow_without_a_cap(spark, monkeypatch):
     assert np.allclose(scored.sort_values("key")["score"], score)
 
 
+def test_share_forests_take_levels_together(spark, monkeypatch):
+    """The passes over the rows do not grow with the number of trees, and a leaf's path is
+    that of the rows in it, also where a subtree was grown in a task."""
+    monkeypatch.setattr(forest, "GROUP_ROWS", 100)
+    monkeypatch.setattr(forest.levels, "BATCH_BYTES", 1 << 20)
+    written, write = [], forest.levels._written
+    monkeypatch.setattr(forest.levels, "_written", lambda df, name: written.append(name) or write(df, name))
+    rows, points = cloud(spark, n=600, copies=200)
+    made = forest.isolation_forest_fit(rows, "key", 6, trees=40, sample=0.8, contamination=None)
+    assert written.count("tree-rows") <= 20 and written.count("subtrees") == 1
+    cut = int(0.8 * (1 << 30)) + 1
+    inside = np.stack(rows.orderBy("key").select(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda t: F.pmod(
+        F.xxhash64(F.lit(42), t, F.col("key")), F.lit(1 << 30)) < cut).alias("i")).toPandas()["i"])
+    for tree, table in made.nodes.where("tree < 4").toPandas().groupby("tree"):
+        table = table.sort_values("node").reset_index(drop=True)
+        at, depth = np.zeros(600, int), np.zeros(600, int)
+        for _ in range(9):
+            here = table.loc[at]
+            split = (here["feature"] >= 0).to_numpy()
+            left = points[np.arange(600), np.maximum(here["feature"], 0)] <= here["threshold"].to_numpy()
+            at, depth = np.where(split, np.where(left, here["left"], here["right"]), at), depth + split
+        held = np.bincount(at[inside[:, tree]], minlength=len(table))
+        assert np.allclose(table.loc[at, "path"], depth + forest.average_path(held[at]))
+
+
 def test_sparse_and_dense_rows_score_alike(spark):
     rows, _ = cloud(spark)
     made = forest.isolation_forest_fit(rows, "key", 6, trees=20)
