@@ -17,6 +17,7 @@ from ..session import materialize
 from ..sources import stores
 
 REMEMBERED = 100_000  # texts a task remembers the scores of, about
+HELD = 8 << 20        # and characters of them, about
 
 
 @dataclass
@@ -58,8 +59,9 @@ def score_texts(df: DataFrame, text: str, model: TextModel | None, key: str) ->
     """Add ``ml_prediction`` and ``confidence``; Normal at 0.5 without a model.
 
     Scored in the row, in one pass over the input: nothing is joined or shuffled, whatever
-    text is frequent. A task remembers the texts it has scored, so equal ones are scored
-    once there: logs repeat themselves.
+    text is frequent. A task remembers texts it has scored, so equal ones are scored once
+    there: logs repeat themselves. How many words are weighed and how many characters are
+    remembered at a time is bounded, however long texts are.
     """
     if model is None:
         return df.withColumns({"ml_prediction": F.lit("Normal"), "confidence": F.lit(0.5)})
@@ -73,15 +75,14 @@ def score_texts(df: DataFrame, text: str, model: TextModel | None, key: str) ->
 
     def score(batches):
         known, scorer = shared.value
-        memory: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        memory, held = {}, 0
+        for batch in (part for whole in batches for part in tfidf._parts(whole, len(kept) + 1)):
             coded = batch.column(len(kept)).dictionary_encode()
             texts = coded.dictionary.to_pylist() + [None]
             at = pc.fill_null(coded.indices, len(texts) - 1).to_numpy(zero_copy_only=False)
-            if len(memory) > REMEMBERED:
+            if len(memory) > REMEMBERED or held > HELD:
                 memory.clear()
+                held = 0
             fresh = [i for i in np.unique(at) if texts[i] not in memory]
             if fresh:
                 first = np.full(len(texts), -1)
@@ -91,6 +92,7 @@ def score_texts(df: DataFrame, text: str, model: TextModel | None, key: str) ->
                 made = scorer.score(row, known.index[place], weight, len(fresh))
                 empty = np.bincount(row, minlength=len(fresh)) == 0
                 memory.update(zip([texts[i] for i in fresh], zip(made.tolist(), empty.tolist())))
+                held += sum(len(texts[i] or "") for i in fresh)
             found = [memory[texts[i]] for i in at]
             score, empty = zip(*found)
             yield pa.RecordBatch.from_arrays(

@@ -41,6 +41,21 @@ def test_forest_is_repeatable_and_finds_outliers(spark):
     assert leaves["path"].max() <= 9 + float(forest.average_path(256))
 
 
+def test_offset_scores_every_row_once(spark):
+    rows, _ = cloud(spark)
+    scored = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scored.add(len(batch))
+            yield batch
+
+    made = forest.isolation_forest_fit(rows, "key", 6, trees=10, contamination=None)
+    watched = rows.mapInPandas(seen, rows.schema)
+    forest._with_offset(made, watched, "key", 0.1)
+    assert scored.value == 400
+
+
 def test_share_forests_grow_without_a_cap(spark, monkeypatch):
     """Trees on a share of the rows: whole, repeatable (also from sparse rows), and different
     shares differ."""
@@ -337,6 +352,27 @@ def test_verdicts_in_the_row_equal_scored_vectors(spark, monkeypatch):
     assert scoring.score_texts(texts.limit(0), "text", model, "id").count() == 0
 
 
+def test_long_texts_are_weighed_a_few_at_a_time(spark, monkeypatch):
+    """Long texts in one batch: no more words together than allowed, and the same verdicts."""
+    said = [" ".join(f"w{(i * j) % 97}x" for j in range(200)) for i in range(120)]
+    texts = spark.createDataFrame(list(enumerate(said)), "id bigint, text string")
+    model = scoring.fit_text_model(texts, "id", "text", 50, 20)
+    made = []
+    original = type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda df, f, *a, **k: made.append((df, f)) or original(df, f, *a, **k))
+    scoring.score_texts(texts, "text", model, "id")
+    frame, score = made[-1]
+    batch = frame.toArrow().combine_chunks().to_batches()[0]
+    want = [r for part in score([batch]) for r in part.to_pylist()]
+    together = []
+    weigh = tfidf.Weigher.weigh
+    monkeypatch.setattr(tfidf, "WORDS", 1000)
+    monkeypatch.setattr(scoring, "HELD", 2000)
+    monkeypatch.setattr(tfidf.Weigher, "weigh", lambda self, lists: together.append(len(lists.flatten())) or weigh(self, lists))
+    assert [r for part in score([batch]) for r in part.to_pylist()] == want and len(want) == 120
+    assert max(together) <= 1000 and len(together) >= 24
+
+
 def test_text_vectors_in_the_row_equal_the_weights_table(spark):
     texts = spark.createDataFrame(
         [(1, "Disk error on node seven, disk error"), (2, "login failed for root"), (3, None),
