@@ -1,11 +1,14 @@
 """Block-wise computations against plain global windows."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
 from logspark.operators import features, frames, rules, splits
+from logspark.plans import training
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +104,36 @@ def test_holdout_counts(spark):
     parts = splits.holdout_per_file(rows, "path", "id").groupBy("path", "part").count().collect()
     assert {(r.path, r.part): r["count"] for r in parts} == {
         ("hot", "test"): 190, ("hot", "train"): 760, ("cold", "test"): 10, ("cold", "train"): 40}
+
+
+def test_sample_rows_sorts_few_rows(spark):
+    keys = [None, None, *range(20_000), 7, 7]
+    df = spark.createDataFrame([(k, str(i)) for i, k in enumerate(keys)], "key bigint, text string")
+    digests = [(k is not None, hashlib.md5(f"{k}:42".encode()).hexdigest() if k is not None else "", k) for k in keys]
+    for n in (0, 1, 500, 30_000):
+        made = splits.sample_rows(df, "key", n)
+        assert sorted(str(r["key"]) for r in made.collect()) == sorted(str(k) for *_, k in sorted(digests, key=lambda d: d[:2])[:n])
+    few = splits.sample_rows(df, "key", 500)
+    limits = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in limits.split("Sort", 1)[1]
+
+
+def test_sampled_training_reads_its_sample(spark, monkeypatch):
+    read, seen = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    def stop(lines, *_):
+        seen.append(lines)
+        raise InterruptedError
+
+    lines = spark.range(3000).selectExpr("id AS line_no", "concat('INFO job ', id) AS line")
+    monkeypatch.setattr(training.splits, "chronological_split", stop)
+    with pytest.raises(InterruptedError):
+        training.train_sampled(lines.mapInPandas(counted, "line_no bigint, line string"), sample=100)
+    before = read.value
+    assert seen[0].count() == seen[0].where("line LIKE 'INFO%'").count() == 100
+    assert read.value == before > 0
