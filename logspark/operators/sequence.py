@@ -1,7 +1,8 @@
 """Sequence models: how often a run of messages was seen, and how its words vary.
 
-Runs are taken over row frames of bounded blocks. A run is identified by the md5 of its
-length-prefixed messages, so shuffles carry a digest instead of the messages.
+Runs are taken over row frames of bounded blocks. A run is identified by the md5 of the md5s
+of its messages, each taken once where the frames are, so frames and shuffles carry digests
+instead of the messages.
 """
 
 from __future__ import annotations
@@ -15,42 +16,49 @@ from . import frames
 UNSEEN = 0.8
 
 
-def _digest(messages: Column) -> Column:
-    marked = F.transform(messages, lambda m: F.concat(F.length(m).cast("string"), F.lit(":"), m))
-    return F.md5(F.array_join(marked, ""))
+def _digest(digests: Column) -> Column:
+    return F.md5(F.array_join(digests, ""))
 
 
 def _runs(
-    df: DataFrame, order: str, by, length: int, columns, numbered: bool
+    df: DataFrame, order: str, by, length: int, columns: dict, numbered: bool
 ) -> DataFrame:
-    """Every row with arrays of ``columns`` over the last ``length`` rows.
+    """Every row with arrays ``_run_<name>`` of the given columns over the last ``length`` rows.
 
-    ``_full`` says that the run has ``length`` rows.
+    The columns are made after the rows have moved. ``_full`` says that the run has
+    ``length`` rows.
     """
     by = list(by)
     seq = order if numbered else "_seq"
     indexed = df if numbered else frames.line_index(df, order, by, name=seq)
-    wide = frames.with_halo(indexed, seq, before=length - 1, by=by)
+    wide = frames.with_halo(indexed, seq, before=length - 1, by=by).withColumns(
+        {f"_one_{name}": value for name, value in columns.items()})
     frame = frames.block_window(seq, by, -(length - 1), 0)
-    runs = wide.withColumns({f"_run_{c}": F.collect_list(c).over(frame) for c in columns})
+    runs = wide.withColumns({f"_run_{c}": F.collect_list(f"_one_{c}").over(frame) for c in columns})
     return frames.own_rows(runs).withColumn("_full", F.col(seq) >= length - 1)
 
 
 def sequence_keys(
-    df: DataFrame, order: str, message: str, by=(), length: int = 5, numbered: bool = False
+    df: DataFrame, order: str, message: str, by=(), length: int = 5, numbered: bool = False,
+    with_run: bool = True,
 ) -> DataFrame:
-    """Add ``run_key`` (null for the first ``length`` - 1 rows) and ``run``, the messages."""
-    filled = df.withColumn("_m", F.coalesce(F.col(message), F.lit("")))
-    runs = _runs(filled, order, by, length, ["_m"], numbered)
-    return frames.settle(runs.withColumn("run_key", F.when(F.col("_full"), _digest(F.col("_run__m"))))) \
-        .select(*df.columns, F.when(F.col("_full"), F.col("_run__m")).alias("run"), "run_key")
+    """Add ``run_key`` (null for the first ``length`` - 1 rows) and ``run``, the messages.
+
+    Fitting needs the messages of a run; scoring does without (``with_run``).
+    """
+    said = F.coalesce(F.col(message), F.lit(""))
+    columns = {"digest": F.md5(said), **({"said": said} if with_run else {})}
+    runs = _runs(df, order, by, length, columns, numbered)
+    run = [F.when(F.col("_full"), F.col("_run_said")).alias("run")] if with_run else []
+    key = F.when(F.col("_full"), _digest(F.col("_run_digest"))).alias("run_key")
+    return frames.settle(runs.select(*df.columns, *run, key))
 
 
 def sequence_fit(keyed: DataFrame, min_count: int = 2) -> DataFrame:
     """Runs seen at least ``min_count`` times: run_key, run, seen, and the total of all runs."""
-    counted = keyed.where(F.col("run_key").isNotNull()).groupBy("run_key").agg(
-        F.first("run").alias("run"), F.count(F.lit(1)).alias("seen")
-    )
+    # The messages follow from the key; as a part of it they are hashed, not sorted.
+    counted = keyed.where(F.col("run_key").isNotNull()).groupBy("run_key", "run").agg(
+        F.count(F.lit(1)).alias("seen"))
     total = keyed.agg(F.count("run_key"))
     return counted.where(F.col("seen") >= min_count).withColumn("total", total.scalar())
 
@@ -91,7 +99,7 @@ def build_vocabulary(df: DataFrame, message: str, min_count: int = 2) -> DataFra
 
 
 def _words(message: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(message, F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(message, F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+"), "")
 
 
 def _first_word_indices(
@@ -101,11 +109,12 @@ def _first_word_indices(
 
     Looked up once per distinct beginning of a message, not once per line.
     """
-    beginning = df.select(
-        key, F.slice(_words(F.col(message)), 1, length).alias("_begin")
-    ).withColumn("_begin_key", _digest(F.col("_begin")))
-    distinct = beginning.groupBy("_begin_key").agg(F.first("_begin").alias("_begin"))
-    placed = distinct.select("_begin_key", F.posexplode("_begin").alias("_at", "word"))
+    # Words hold no blanks.
+    beginning = frames.settle(df.select(
+        key, F.array_join(F.slice(_words(F.col(message)), 1, length), " ").alias("_begin")
+    )).withColumn("_begin_key", F.md5(F.col("_begin")))
+    distinct = beginning.where(F.col("_begin") != "").select("_begin_key", "_begin").distinct()
+    placed = distinct.select("_begin_key", F.posexplode(F.split("_begin", " ")).alias("_at", "word"))
     looked_up = placed.join(vocabulary.select("word", "word_index"), "word", "left")
     arrays = looked_up.groupBy("_begin_key").agg(
         F.sort_array(F.collect_list(F.struct(
@@ -128,14 +137,13 @@ def pattern_rows(
     ``order`` is unique over the table.
     """
     indexed = _first_word_indices(df, order, message, vocabulary, length)
-    joined = df.join(indexed, order).withColumn(
-        "_short", F.substring(F.coalesce(F.col(message), F.lit("")), 1, key_chars)
-    )
-    runs = _runs(joined, order, by, length, ["_short", "_indices"], numbered)
-    flat = F.slice(F.flatten("_run__indices"), 1, length)
+    joined = df.join(indexed, order)
+    short = F.md5(F.substring(F.coalesce(F.col(message), F.lit("")), 1, key_chars))
+    runs = _runs(joined, order, by, length, {"short": short, "indices": F.col("_indices")}, numbered)
+    flat = F.slice(F.flatten("_run_indices"), 1, length)
     padded = F.slice(F.concat(flat, F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length)
     keyed = runs.withColumns({
-        "pattern_key": F.when(F.col("_full"), _digest(F.col("_run__short"))),
+        "pattern_key": F.when(F.col("_full"), _digest(F.col("_run_short"))),
         "word_run": F.when(F.col("_full"), padded),
     })
     return frames.settle(keyed.select(*df.columns, "pattern_key", "word_run"))
@@ -185,7 +193,7 @@ class SequenceModel:
 
     def score(self, df: DataFrame, order: str, message: str, by=(), numbered: bool = False) -> DataFrame:
         """Both scores of each row, their blend and a flag."""
-        keyed = sequence_keys(df, order, message, by, self.length, numbered)
+        keyed = sequence_keys(df, order, message, by, self.length, numbered, with_run=False)
         by_frequency = sequence_score(keyed, self.runs)
         rows = pattern_rows(df, order, message, self.vocabulary, by, self.length, numbered=numbered)
         by_pattern = pattern_score(rows, self.patterns, self.length)

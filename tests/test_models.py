@@ -395,3 +395,30 @@ def test_text_vectors_in_the_row_equal_the_weights_table(spark):
     assert "Exchange" not in plan
     with pytest.raises(ValueError):
         tfidf.tfidf_vectors(texts, vocabulary, "id", "text", max_features=2)
+
+
+def test_runs_are_keyed_by_digests(spark):
+    """Runs that read alike when put together differ; frames of a scoring hold no messages."""
+    said = ["ab", "c", "a", "bc", "ab", "c", "", None, "ab", "c", None, ""] * 2
+    rows = spark.createDataFrame(list(enumerate(said)), "at bigint, m string")
+    fitted = sequence.sequence_fit(sequence.sequence_keys(rows, "at", "m", length=2))
+    pairs = [(a or "", b or "") for a, b in zip(said, said[1:])]
+    want = {p: pairs.count(p) for p in pairs if pairs.count(p) > 1}
+    assert {tuple(r["run"]): r["seen"] for r in fitted.collect()} == want
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan(fitted)
+    model = sequence.sequence_model(rows, "at", "m", length=2)
+    path = scratch_path(spark, "digests")
+    models.save_sequence_model(path, model)
+    scored = models.load_sequence_model(spark, path).score(rows, "at", "m")
+    assert "_run_said" not in plan(scored) and "SortAggregate" not in plan(model.vocabulary)
+    assert scored.count() == len(said)
+
+
+def test_beginnings_of_messages(spark):
+    said = ["  Two  words ", "two WORDS three", "", None, " ", "two"]
+    rows = spark.createDataFrame(list(enumerate(said)), "at bigint, m string")
+    vocabulary = spark.createDataFrame([("three", 1), ("two", 2), ("words", 3)], "word string, word_index bigint")
+    made = sequence._first_word_indices(rows, "at", "m", vocabulary, 2).orderBy("at")
+    assert [r["_indices"] for r in made.collect()] == [[2, 3], [2, 3], [], [], [], [2]]
+    assert "array_join" in made._jdf.queryExecution().analyzed().toString()
