@@ -91,13 +91,16 @@ def _csv_field(line: Column, number: int) -> Column:
     return X.strip(F.when(field.startswith('"'), plain).otherwise(field))
 
 
-def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> DataFrame:
+def parse_logs(
+    df: DataFrame, line: str = "line", line_no: str = "line_no", fields=RECORD_FIELDS
+) -> DataFrame:
     """Parse lines of mixed formats; blank and unparseable ones go.
 
-    Adds the record fields to the other columns of the input. ``id`` is ``log-<line_no>``;
-    ``event_ts`` is the stamp as a time where it is one. Every value is a native expression,
-    so a query that reads three fields does not pay for the others.
+    Adds the record ``fields`` to the other columns of the input; what only other fields need
+    is not computed. ``id`` is ``log-<line_no>``; ``event_ts`` is the stamp as a time where it
+    is one. Every value is a native expression.
     """
+    made = {*fields, *(["timestamp"] if "event_ts" in fields else [])}
     others = [c for c in df.columns if c != line]
     raw, kind = F.col("raw"), F.col("log_type")
     as_json = F.col("_json")
@@ -105,6 +108,9 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
     def only(name: str, value: Column) -> Column:
         return F.when(kind == name, value)
 
+    def need(field: str, value: Column) -> Column:
+        return value if field in made else F.lit(None).cast("string")
+
     lines = settle(df.select(*others, X.strip(F.col(line)).alias("raw")))
     objects = settle(lines.where(F.length("raw") > 0).withColumn("_json", json_object(raw)))
     typed = settle(objects.withColumn("log_type", log_type(raw, as_json)))
@@ -116,9 +122,9 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
             raw.rlike(P.CSV_LINE), F.array(*[_csv_field(raw, i) for i in (1, 2, 3, 4)])
         )),
         "_lead": only("application", F.regexp_extract(raw, P.LEADING_STAMP, 0)),
-        "_stamp": F.when(kind.isin("application", "plain"), F.coalesce(
+        "_stamp": need("timestamp", F.when(kind.isin("application", "plain"), F.coalesce(
             X.found(raw, P.LEADING_STAMP, 1), X.found(raw, P.ANY_STAMP, 1), F.lit("")
-        )),
+        ))),
         "_access": only("apache_nginx", F.array(
             F.coalesce(X.found(raw, P.ACCESS_LINE, 1), X.found(raw, P.ACCESS_LINE, 2)),
             *[F.regexp_extract(raw, P.ACCESS_LINE, group) for group in (3, 4, 5)],
@@ -161,10 +167,10 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
     ).withColumn("_said", F.when(guessed, message))
     text = F.col("_text")
     entities = settle(sourced.withColumns({
-        "_ip": X.extract_ip(text),
-        "_user": X.extract_user(text),
-        "_status": X.extract_status(text),
-        "_svc": F.when(guessed, X.guess_service(F.col("_said"))),
+        "_ip": need("ip_address", X.extract_ip(text)),
+        "_user": need("user_id", X.extract_user(text)),
+        "_status": need("status_code", X.extract_status(text)),
+        "_svc": need("service", F.when(guessed, X.guess_service(F.col("_said")))),
     }))
 
     def named(field: str, missing: Column, keep_null: bool = False) -> Column:
@@ -173,14 +179,14 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
         return F.when(value.isNotNull(), text).otherwise(missing)
 
     objects = settle(entities.withColumn("_fields", only("json", F.struct(
-        _json_stamp(_first(as_json, "timestamp")).alias("timestamp"),
-        named("service", F.col("_svc")).alias("service"),
-        named("log_level", F.lit("INFO")).alias("level"),
-        named("ip_address", F.col("_ip"), keep_null=True).alias("ip"),
-        named("user_id", F.col("_user"), keep_null=True).alias("user"),
-        F.coalesce(
+        need("timestamp", _json_stamp(_first(as_json, "timestamp"))).alias("timestamp"),
+        need("service", named("service", F.col("_svc"))).alias("service"),
+        need("log_level", named("log_level", F.lit("INFO"))).alias("level"),
+        need("ip_address", named("ip_address", F.col("_ip"), keep_null=True)).alias("ip"),
+        need("user_id", named("user_id", F.col("_user"), keep_null=True)).alias("user"),
+        need("status_code", F.coalesce(
             F.nullif(named("status_code", F.lit("")), F.lit("")), F.col("_status")
-        ).alias("status"),
+        )).alias("status"),
     ))))
 
     access_status = F.col("_access")[3]
@@ -220,14 +226,15 @@ def parse_logs(df: DataFrame, line: str = "line", line_no: str = "line_no") -> D
     record = settle(objects.select(
         *others, "raw", "log_type", "message",
         F.concat(F.lit("log-"), F.col(line_no).cast("string")).alias("id"),
-        stamp.alias("timestamp"), service.alias("service"), level_word.alias("_level"),
-        ip.alias("ip_address"), user.alias("user_id"), status.alias("status_code"),
+        need("timestamp", stamp).alias("timestamp"), need("service", service).alias("service"),
+        need("log_level", level_word).alias("_level"), need("ip_address", ip).alias("ip_address"),
+        need("user_id", user).alias("user_id"), need("status_code", status).alias("status_code"),
         label.alias("dataset_label"),
     )).withColumn("log_level", X.normalize_level(F.col("_level")))
     when = F.replace(F.col("timestamp"), F.lit("T"), F.lit(" "))
     return record.withColumn(
         "event_ts", F.try_to_timestamp(when, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    ).select(*others, *RECORD_FIELDS)
+    ).select(*others, *fields)
 
 
 def parseable(raw: Column) -> Column:

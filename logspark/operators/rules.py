@@ -16,18 +16,18 @@ def _both(separator: str = ""):
     )
 
 
-def keyword_rules(text=None) -> dict:
+def keyword_rules(text=None, known=None) -> dict:
     """The rules that need one line only, by name, in the order they are tried."""
     text = message_or_raw() if text is None else text
     both = _both()
     return {
-        "critical_error": S.rule_critical_error(text),
-        "login_failure": S.rule_login_failure(text),
-        "brute_force": S.rule_brute_force(text),
-        "database_connection_failure": S.rule_db_failure(text),
-        "unauthorized_access": S.rule_unauthorized(text),
-        "suspicious_ip": S.rule_suspicious_ip(F.col("ip_address"), both),
-        "known_attack_pattern": S.rule_known_attack(both),
+        "critical_error": S.rule_critical_error(text, known),
+        "login_failure": S.rule_login_failure(text, known),
+        "brute_force": S.rule_brute_force(text, known),
+        "database_connection_failure": S.rule_db_failure(text, known),
+        "unauthorized_access": S.rule_unauthorized(text, known),
+        "suspicious_ip": S.rule_suspicious_ip(F.col("ip_address"), both, known),
+        "known_attack_pattern": S.rule_known_attack(both, known),
     }
 
 
@@ -70,19 +70,26 @@ def run_rules(
         context = df.withColumns({"login_failures": failures, "requests": F.lit(1)})
     else:
         context = repeated_login_failures(df, order, by, numbered=numbered)
-    repeated = S.outcome(
-        F.col("login_failures") >= 3, "repeated_login_failures",
-        F.concat(F.lit("Multiple login failures ("),
-                 F.col("login_failures").cast("string"), F.lit(") detected")),
-    )
-    frequent = S.outcome(
-        F.col("requests") > threshold, "unusual_request_frequency",
-        F.concat(F.lit("Unusual request frequency: "),
-                 F.col("requests").cast("string"), F.lit(" in window")),
-    )
-    rules = [*keyword_rules().values(), repeated, frequent]
-    return frames.settle(context.withColumn("rule", S.first_triggered(rules)).drop(
-        "login_failures", "requests", "repeated"
+
+    def tried(known=None) -> list:
+        repeated = S.outcome(
+            F.col("login_failures") >= 3 if known is None else known, "repeated_login_failures",
+            F.concat(F.lit("Multiple login failures ("),
+                     F.col("login_failures").cast("string"), F.lit(") detected")),
+        )
+        frequent = S.outcome(
+            F.col("requests") > threshold if known is None else known, "unusual_request_frequency",
+            F.concat(F.lit("Unusual request frequency: "),
+                     F.col("requests").cast("string"), F.lit(" in window")),
+        )
+        return [*keyword_rules(known=known).values(), repeated, frequent]
+
+    # A test is made once: the struct of the rule that fired does not ask again.
+    judged = frames.settle(context.withColumn("_first", S.first_fired(tried())))
+    fired = F.coalesce(*[
+        F.when(F.col("_first") == place, rule) for place, rule in enumerate(tried(F.lit(True)))])
+    return frames.settle(judged.withColumn("rule", fired).drop(
+        "_first", "login_failures", "requests", "repeated"
     ))
 
 

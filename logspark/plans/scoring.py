@@ -134,7 +134,7 @@ def analyze_messages(messages: DataFrame, key: str, message: str, model: TextMod
     texts = messages.select(key, F.col(message).alias("_message"), cleaned.alias("_cleaned"))
     scored = score_texts(texts, "_cleaned", model, key)
     lines = parse.split_lines(messages.select(key, F.col(message).alias("line")), "line", "line_no", "_l")
-    records = parse.parse_logs(lines, "_l", "line_no")
+    records = parse.parse_logs(lines, "_l", "line_no", ("message", "raw", "ip_address"))
     first = records.groupBy(key).agg(F.min_by(
         F.struct("message", "raw", "ip_address"), "line_no").alias("_r")).select(key, "_r.*")
     whole = F.coalesce(F.col("_message"), F.lit(""))

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from logspark.functions import fields as X, text as T
-from logspark.operators import parse, prepare
+from logspark.functions import fields as X, patterns as P, signatures as S, text as T
+from logspark.operators import parse, prepare, rules
+from logspark.plans import scoring
 
 LINES = [
     "081109 203615 11 INFO dfs.DataNode$PacketResponder: PacketResponder 1 for block blk_1 terminating",
@@ -98,3 +99,40 @@ def test_cleaning_options(spark):
     assert clean(remove_stop=False) == "t z the user name à ok foo"
     assert clean(custom_stopwords=("foo",)) == "t z user name à"
     assert "username" in clean(keep_spaces=False)
+
+
+def test_wanted_fields_equal_those_of_the_whole_record(spark):
+    lines = spark.createDataFrame(list(enumerate(LINES)), "line_no bigint, line string")
+    whole = parse.parse_logs(lines)
+    for fields in (("message", "raw", "ip_address"), ("event_ts",), ("log_level", "user_id"), ("service", "status_code")):
+        some = parse.parse_logs(lines, fields=fields)
+        assert some.columns == ["line_no", *fields] and some.dtypes == whole.select("line_no", *fields).dtypes
+        assert sorted(some.collect(), key=str) == sorted(whole.select("line_no", *fields).collect(), key=str)
+    messages = lines.withColumnRenamed("line_no", "key")
+    plan = scoring.analyze_messages(messages, "key", "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert P.USER not in plan and P.IP in plan
+
+
+def test_a_rule_is_tried_once(spark):
+    said = [*LINES, "fatal flaw", "Login  FAILED for root", "brute force", "db unreachable", "forbidden", "SQL injection",
+            "login from 10.0.0.1", "nothing", None]
+    rows = spark.createDataFrame([(i, t, t, None) for i, t in enumerate(said)], "id int, message string, raw string, ip_address string")
+    made = rules.run_rules(rows, order=None)
+    got = {r["id"]: r["rule"] for r in made.collect()}
+    want = rows.select("id", S.first_triggered([*rules.keyword_rules().values()]).alias("rule"))
+    assert got == {r["id"]: r["rule"] for r in want.collect()}
+    names = {r["rule_name"] for r in got.values() if r}
+    assert len(names) == 7
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("brute\\s+force") == 1
+
+
+def test_the_look_ahead_changes_no_match(spark):
+    groups = (P.LOGIN_FAILURE, P.BRUTE_FORCE, P.DB_FAILURE, P.UNAUTHORIZED, P.CRITICAL_ERROR, P.KNOWN_ATTACK, P.SILVER_PHRASES)
+    said = [*LINES, "xlogin\tfailed", "LOGIN FAILED", "error and it failed", "a db connection", "out of  memory", "crashed",
+            "heartbeat failure", "sq sql error", "", "xss  attempt"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    for patterns in groups:
+        for flag, ignore in (("", False), ("(?i)", True)):
+            plain = flag + "(?:" + "|".join(patterns) + ")"
+            assert not rows.where(F.col("t").rlike(plain) != F.col("t").rlike(P.any_of(patterns, ignore))).count()
+    assert P.any_of(("ab", "ac|d")) == "(?:ab|ac|d)" and P.any_of(("ab", "c?d")) == "(?:ab|c?d)"
